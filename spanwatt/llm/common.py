@@ -96,6 +96,7 @@ class Lane:
 
     def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A fingerprint of symbols[start:end] for each pair."""
+        self._grow(len(prefix))
         return mix((prefix[end] - prefix[start]) * self.inverse[start])
 
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, kd_sharding, language_id, quality_rules, token_files
+from . import bpe, decontamination, kd_sharding, language_id, quality_rules, substring_dedup, suffix_dedup, token_files
 
 #: Folder of the vocabulary files; a parameter of the deployment.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR") or os.path.dirname(public_tokenizers.path("x"))
@@ -38,6 +38,11 @@ def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substring_dedup.dedup(_docs(spark, sf_dir))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = quality_rules.judged(_docs(spark, sf_dir).select("doc_id", "text"))
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -49,12 +54,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), decontamination.contaminated().alias("contaminated"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffix_dedup.dedup(_docs(spark, sf_dir))
+    return made.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(spark, _docs(spark, sf_dir).select("doc_id", "text"), os.path.join(TOKENIZERS, "word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_kd_sharding, op5_quality_rules, op6_decontamination, op9_token_files)
+    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_kd_sharding, op4_substring_dedup, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op9_token_files)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
@@ -112,3 +122,39 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
     sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join words using (doc_id) left join found using (doc_id)
 """
+
+SQL["op4_substring_dedup"] = rf"""
+with d as (
+    select doc_id, {_WORDS} as w from documents
+), win as (
+    select doc_id, i, md5(list_aggregate(w[i : i + 49], 'string_agg', ' ')) as v from d, unnest(range(1, greatest(len(w) - 48, 1))) as u(i)
+), first as (
+    select v, min(doc_id) as f from win group by 1
+), gone as (
+    select distinct doc_id, p from (select doc_id, unnest(range(i, i + 50)) as p from win join first using (v) where f < doc_id)
+), left_ as (
+    select doc_id, string_agg(x, ' ' order by p) as kept from (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d) anti join gone using (doc_id, p) group by 1
+), n as (
+    select doc_id, count(*) as n from gone group by 1
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join n using (doc_id) left join left_ using (doc_id)
+"""
+
+SQL["op7_suffix_dedup"] = r"""
+with d as (
+    select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents
+), win as (
+    select doc_id, p, md5(substr(h, 2 * p + 1, 200)) as v from d, unnest(range(0, greatest(n - 99, 0))) as u(p)
+), later as (
+    select doc_id, p from (select *, row_number() over (partition by v order by doc_id, p) as k from win) where k > 1
+), gone as (
+    select distinct doc_id, b from (select doc_id, unnest(range(p, p + 100)) as b from later)
+), kept as (
+    select doc_id, string_agg(substr(h, 2 * b + 1, 2), '' order by b) as k from (select doc_id, h, unnest(range(0, n)) as b from d) anti join gone using (doc_id, b) group by 1
+), counts as (
+    select doc_id, count(*) as n_removed, count(*) filter (b - 1 <> coalesce(prev, -9)) as n_spans from (select *, lag(b) over (partition by doc_id order by b) as prev from gone) group by 1
+)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(k, ''))) as kept_sha256
+from d left join counts using (doc_id) left join kept using (doc_id)
+"""
