@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, kd_sharding, language_id, quality_rules, substring_dedup, suffix_dedup, token_files
+from . import bpe, decontamination, jaccard_join, kd_sharding, language_id, line_dedup, quality_rules, substring_dedup, suffix_dedup, token_files
 
 #: Folder of the vocabulary files; a parameter of the deployment.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR") or os.path.dirname(public_tokenizers.path("x"))
@@ -59,12 +59,21 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = line_dedup.dedup(_docs(spark, sf_dir).select("doc_id", "text"))
+    return made.select("doc_id", "n_lines", "n_lines_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(spark, _docs(spark, sf_dir).select("doc_id", "text"), os.path.join(TOKENIZERS, "word_bpe_49k.json"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_kd_sharding, op4_substring_dedup, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op9_token_files)
+    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_kd_sharding, op4_substring_dedup, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_line_dedup, op9_token_files, op10_jaccard_join)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
@@ -81,11 +90,11 @@ with d as (
 ), covered as (
     select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from win join twice using (doc_id, v)) group by 1
 ), lines as (
-    select doc_id, x, length(regexp_replace(x, '[ \t-\r]', '', 'g')) as size, regexp_replace(x, '[\t-\r]', '', 'g') as plain from (select doc_id, unnest(l) as x from d)
+    select doc_id, x, length(regexp_replace(x, '[ \t-\r]', '', 'g')) as size  from (select doc_id, unnest(l) as x from d)
 ), judged as (
     select *, size > 0 and (
         length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > size * 0.4::double
-        or (length(trim(x, ' ')) - length(regexp_replace(trim(x, ' '), '[ \t-\r]', '', 'g')) - (length(trim(x, ' ')) - length(regexp_replace(trim(x, ' '), '[\t-\r]', '', 'g'))) + 1 >= 4 and not regexp_matches(x, '\pL'))
+        or (len(regexp_extract_all(x, '[^ \t-\r]+')) >= 4 and not regexp_matches(x, '\pL'))
         or len(regexp_extract_all(x, '[|»›•·]| > | :: ')) >= 3
         or regexp_matches(lower(x), 'javascript|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|lorem ipsum|click here|sign up for our')
     ) as fails from lines
