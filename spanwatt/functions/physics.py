@@ -104,4 +104,4 @@ def heat_balance(c: Conductor, surface: Column, ambient: Column, wind: Column, a
     parts = convection(c, surface, ambient, wind, angle, elevation)
     parts |= {"q_radiation": radiation(c, surface, ambient), "q_solar": measured_gain(c, solar), "resistance": resistance(c, surface)}
     net = parts["q_convection"] + parts["q_radiation"] - parts["q_solar"]
-    return parts | {"current_a": F.sqrt(F.greatest(net, F.lit(0.0)) / parts["resistance"])}
+    return parts | {"current_a": F.when(net.isNotNull(), F.sqrt(F.greatest(net, F.lit(0.0)) / parts["resistance"]))}

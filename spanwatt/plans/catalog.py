@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import weather
+from . import checks, weather
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for part in (weather,):
+for part in (weather, checks):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
