@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from .common import LAST_ID, shared_dir
 
 #: Words kept by a Python worker with their ids; the oldest half goes when there are more.
-CACHE = 300_000
+CACHE = 900_000
 
 
-def word_encoder(path: str) -> Callable[[str], list[int]]:
-    """Encodes texts with a file of the tokenizers library, without adding special tokens.
+def word_encoder(path: str, kind: type) -> Callable[[list[str]], list[bytes]]:
+    """Encodes texts with a file of the tokenizers library, without adding special tokens, to
+    ids of a numpy type end to end.
 
     The tokenizer drops white space and splits there, so a text's ids are those of its
     space-free runs end to end; each run is encoded once and then remembered.
@@ -37,27 +38,28 @@ def word_encoder(path: str) -> Callable[[str], list[int]]:
 
     tokenizer, known = Tokenizer.from_file(path), {}
 
-    def encode(text: str) -> list[int]:
-        words = text.split()
-        missing = list({w for w in words if w not in known})
+    def encode(texts: list[str]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        every = set(chain.from_iterable(words))
+        if len(known) + len(every) > CACHE:
+            for w in [w for w, _ in zip(known, range(len(known) // 2), strict=False)]:
+                del known[w]
+        missing = list(every.difference(known))
         if missing:
-            if len(known) > CACHE:
-                for w in [w for w, _ in zip(known, range(len(known) // 2), strict=False)]:
-                    del known[w]
-                missing = list({w for w in words if w not in known})
-            known.update(zip(missing, (e.ids for e in tokenizer.encode_batch(missing, add_special_tokens=False)), strict=True))
-        return list(chain.from_iterable(map(known.__getitem__, words)))
+            known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True))
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
     return encode
 
 
-_encoders: dict[str, Callable[[str], list[int]]] = {}
+_encoders: dict[tuple, Callable[[list[str]], list[bytes]]] = {}
 
 
-def _encoder(path: str) -> Callable[[str], list[int]]:
-    if path not in _encoders:
-        _encoders[path] = word_encoder(path)
-    return _encoders[path]
+def _encoder(path: str, kind: type) -> Callable[[list[str]], list[bytes]]:
+    """A worker's encoder stays from task to task."""
+    if (path, kind) not in _encoders:
+        _encoders[path, kind] = word_encoder(path, kind)
+    return _encoders[path, kind]
 
 
 def _place(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -70,21 +72,15 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
 
     A null text is an empty one: only the end id.  Null ids come last; rows with equal ids are
     all kept, in no stated order among them.  An empty table gives an empty manifest.
-    Encoding comes before the shuffle, so that ids move and not texts.  A task writes under a
+    Texts are ranged by id and then encoded by the task that writes them, so that the sampling
+    of the ranges doesn't encode.  A task writes under a
     name of its own and renames at the end: a task that runs again replaces whole files.
     """
     spark = docs.sparkSession
     folder, kind = folder or shared_dir(spark), {16: np.uint16, 32: np.uint32}[id_bits]
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = _encoder(vocabulary)
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                rows = batch.slice(lo, 256)
-                ids = [np.array([*to_ids(t or ""), end_id], kind).tobytes() for t in rows.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_ids, end = _encoder(vocabulary, kind), kind(end_id).tobytes()
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         files, top = _place(folder)
         files.create_dir(top, recursive=True)
@@ -99,8 +95,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), sequence) for x in (ids, np.arange(len(ids)) < n)]
                 by_seq.write_batch(pa.RecordBatch.from_arrays(lists, schema=schema))
 
-            for batch in batches:
-                ids = batch.column(1).to_pylist()
+            for batch in (b.slice(lo, 512) for b in batches for lo in range(0, len(b), 512)):
+                ids = [x + end for x in to_ids([t or "" for t in batch.column(1).to_pylist()])]
                 n = np.array([len(x) for x in ids], np.int64) // kind().itemsize
                 by_doc.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(total + np.cumsum(n) - n), pa.array(n)], schema=index))
                 total, docs_seen = total + int(n.sum()), docs_seen + len(n)
@@ -121,9 +117,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
             files.delete_file(own + ".s")
 
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    encoded = docs.select(key.alias("id"), F.col(text_col).alias("t")).mapInArrow(encode, "id long, ids binary")
     parts = parts or max(1, docs.rdd.getNumPartitions())
-    ordered = encoded.repartitionByRange(parts, "id").sortWithinPartitions("id")
+    ordered = docs.select(key.alias("id"), F.col(text_col).alias("t")).repartitionByRange(parts, "id").sortWithinPartitions("id")
     manifest = ordered.mapInArrow(write, "part long, path string, n_docs long, n_tokens long")
     return spark.createDataFrame(manifest.collect(), manifest.schema)  # a row for each pair of files
 
