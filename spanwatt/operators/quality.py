@@ -34,7 +34,9 @@ def reasons(df: DataFrame) -> Column:
 
 
 def validated(df: DataFrame) -> DataFrame:
-    """Adds reasons, and puts a wind direction of 360 to 0."""
+    """Adds reasons, and puts a wind direction of 360 to 0; leaves rows that have reasons alone."""
+    if "reasons" in df.columns:
+        return df
     df = with_defaults(df)
     return df.withColumn("reasons", reasons(df)).withColumn("wind_direction", F.when(F.col("wind_direction") == 360.0, 0.0).otherwise(F.col("wind_direction")))
 
