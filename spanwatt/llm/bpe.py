@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words that a worker remembers; the oldest half goes when there are more.
-CACHE = 250_000
+CACHE = 1_000_000
 #: Bytes of new words that one query takes.
 QUERY_BYTES = 1 << 16
 #: Words up to so many bytes take one contraction a step.
@@ -120,9 +121,6 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Remembers the ids of these words."""
-        if len(self.known) > CACHE:
-            for word in [w for w, _ in zip(self.known, range(len(self.known) // 2), strict=False)]:
-                del self.known[word]
         rest: tuple[list, list] = [], []
         for word in words:
             raw = word.encode("utf-8", "replace")
@@ -141,12 +139,13 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words.findall(t) for t in texts]
-        missing = {w for ws in split for w in ws if w not in self.known}
-        if missing:
-            self.learn(missing)
-            self.learn({w for ws in split for w in ws if w not in self.known})
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in ws]), np.int32) for ws in split]
+        every = set(chain.from_iterable(split))
+        if len(self.known) + len(every) > CACHE:
+            for word in [w for w, _ in zip(self.known, range(len(self.known) // 2), strict=False)]:
+                del self.known[word]
+        self.learn(every.difference(self.known))
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in split]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         sizes = np.array([len(x) for x in ids])
