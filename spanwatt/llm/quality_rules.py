@@ -11,8 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written  # noqa: F401  (kept importable for jobs that cut the lineage here)
-
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -42,8 +40,8 @@ def line_fails(line: Column, rules: Rules = Rules()) -> Column:
     separators.  Boilerplate: a known phrase.  A line without a word never fails."""
     size = _spaceless(line)
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    words = F.length(F.translate(F.trim(line), "\t\n\x0b\x0c\r", "")) - size + 1
-    punctuation = (symbols > size * rules.symbol_line) | ((words >= rules.letterless_words) & ~line.rlike(r"\p{L}"))
+    letterless = ~line.rlike(r"\p{L}") & (F.regexp_count(line, F.lit(WORD)) >= rules.letterless_words)
+    punctuation = (symbols > size * rules.symbol_line) | letterless
     navigation = F.regexp_count(line, F.lit(SEPARATORS)) >= rules.least_separators
     boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
     return (size > 0) & (punctuation | navigation | boilerplate)
