@@ -9,12 +9,12 @@ from spanwatt.config import SAFETY_FACTOR, Conductor
 from spanwatt.functions import physics
 
 
-def common_times(df: DataFrame) -> DataFrame:
+def common_times(df: DataFrame, readings: DataFrame | None = None) -> DataFrame:
     """Rows at times that every tower of the line has; towers and times must be unique.
 
     Counts per line and time are aggregated before they move; a line without such a time has
-    no rows."""
-    towers = df.groupBy("line_id").agg(F.countDistinct("tower_id").alias("towers"))
+    no rows.  readings: a smaller table with the same towers, to count these on."""
+    towers = (df if readings is None else readings).groupBy("line_id").agg(F.countDistinct("tower_id").alias("towers"))
     full = df.groupBy("line_id", "timestamp").agg(F.count("*").alias("n")).join(towers, "line_id").where("n = towers").select("line_id", "timestamp")
     return df.join(full, ["line_id", "timestamp"], "left_semi")
 

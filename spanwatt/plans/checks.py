@@ -157,13 +157,12 @@ def dataset_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sag_prepared(spark: SparkSession, sf: str) -> DataFrame:
-    """Inclination readings with the published ratings of their tower and time."""
-    places = w.tower_places(spark, sf)
-    frozen = sag.snapshot(w.rated(spark, sf), places, WIRE)
-    towers = frozen.select("line_id", "tower_id", "lon", "lat").distinct()
+    """Inclination readings with the published ratings of their tower and time; spans are the
+    default here, ``span_and_weight`` has those of the table of places."""
+    frozen = sag.snapshot(w.rated(spark, sf), w.tower_places(spark, sf), WIRE)
     order = Window.partitionBy("tower_id").orderBy("sample_order")
     samples = view(spark, sf, "inclination_raw").withColumn("sample_index", (F.row_number().over(order) - 1).cast("long"))
-    df = sag.match_snapshot(samples, frozen.drop("lon", "lat")).join(sag.spans(towers).drop("line_id"), "tower_id", "left")
+    df = sag.match_snapshot(samples, frozen.drop("lon", "lat"))
     wire = CONDUCTORS["4×JL/G1A-630/45"]
     null = F.lit(None).cast("double")
     weight, source = sag.unit_weight(null, null, F.lit(wire["mass_per_length_kg_m"]), F.array().cast("array<struct<mass:double>>"))

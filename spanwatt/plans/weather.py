@@ -37,7 +37,7 @@ def corrected(spark: SparkSession, sf: str, options: Correction = Correction(des
 
 
 def rated(spark: SparkSession, sf: str) -> DataFrame:
-    return ratings.rate_steady(ratings.common_times(corrected(spark, sf)), WIRE)
+    return ratings.rate_steady(ratings.common_times(corrected(spark, sf), clean(spark, sf)), WIRE)
 
 
 # ------------------------------------------------------------------ queries
