@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SPACE_CLASS = r"\x20\x09-\x0D"
+SYMBOL_CLASS = "[#*$%&|<>]"
 #: A line that holds one of these, in any case, is boilerplate.
 BOILERPLATE = ("javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "lorem ipsum", "click here", "sign up for our")
 #: A line with this many separators of menu entries is navigation.
@@ -31,20 +32,31 @@ class Rules:
     most_lost: float = 0.5  #: a document losing a larger part of its non-space characters fails
 
 
+def _trimmed(c: Column) -> Column:
+    return F.trim(c, F.lit(SPACES))
+
+
 def _spaceless(c: Column) -> Column:
-    return F.length(F.translate(c, SPACES, ""))
+    """The text without its spaces: splitting and joining costs less than a look at each character."""
+    return F.array_join(F.split(c, f"[{SPACE_CLASS}]+"), "")
+
 
+def _count(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit(pattern))
 
-def line_fails(line: Column, rules: Rules = Rules()) -> Column:
+
+def line_fails(line: Column, rules: Rules = Rules(), symbols: Column | None = None, phrases: Column | None = None) -> Column:
     """Punctuation: mostly symbols, or several words and no letter.  Navigation: many
-    separators.  Boilerplate: a known phrase.  A line without a word never fails."""
-    size = _spaceless(line)
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    letterless = ~line.rlike(r"\p{L}") & (F.regexp_count(line, F.lit(WORD)) >= rules.letterless_words)
-    punctuation = (symbols > size * rules.symbol_line) | letterless
-    navigation = F.regexp_count(line, F.lit(SEPARATORS)) >= rules.least_separators
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
-    return (size > 0) & (punctuation | navigation | boilerplate)
+    separators.  Boilerplate: a known phrase.  A line without a word never fails.
+
+    symbols, phrases: what is known of the whole text; where it has no symbol, or no known
+    phrase, its lines aren't searched for them.
+    """
+    symbols, phrases = (F.lit(True) if x is None else x for x in (symbols, phrases))
+    letterless = ~line.rlike(r"\p{L}") & (_count(line, WORD) >= rules.letterless_words)
+    punctuation = symbols & (_count(line, SYMBOL_CLASS) > F.length(_spaceless(line)) * rules.symbol_line)
+    navigation = _count(line, SEPARATORS) >= rules.least_separators
+    return letterless | punctuation | navigation | (phrases & F.lower(line).rlike("|".join(BOILERPLATE)))
 
 
 def judged(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -55,40 +67,37 @@ def judged(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> D
     A null text has no words and fails; kept_text is then null.  An equal line is one with
     equal characters, whatever its case.  n_repeat_words counts words covered by windows of
     ``repeat_window`` words that the text holds twice or more; windows are told apart by
-    64-bit hashes within one text.  Its cost is n log n in the words of a text.
+    64-bit hashes within one text.  Its cost is linear in the words of a text, n log n where
+    something repeats.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines_removed", "base_failed", "kept", "kept_text"]
     docs = docs.drop(*made)
     text, w = F.coalesce(F.col(text_col), F.lit("")), rules.repeat_window
-    hashes = F.transform(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != ""), lambda x: F.xxhash64(x))
-    # the window's hash is put together from halves: 1, 2, 4, ... words, then what is left
-    out = docs.withColumn("_h", hashes).withColumn("n_words", F.size("_h").cast("long"))
-    have, window = 1, F.col("_h")
+    trimmed = _trimmed(text)
+    out = docs.withColumn("_w", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE_CLASS}]+")))
+    out = out.withColumns({"n_words": F.size("_w").cast("long"), "word_chars": F.length(F.array_join("_w", "")).cast("long"), "_h": F.transform("_w", lambda x: F.xxhash64(x))}).drop("_w")
+    have = 1  # a window's hash is put together from halves: 1, 2, 4, ... words, then what is left
     while have < w:
         step = min(have, w - have)
-        n = F.col("n_words").cast("int") - have - step + 1
-        left, right = F.slice(window, F.lit(1), F.greatest(n, F.lit(0))), F.slice(window, F.lit(1 + step), F.greatest(n, F.lit(0)))
-        out = out.withColumn("_h", F.zip_with(left, right, lambda a, b: F.xxhash64(a, b)))
+        n = F.greatest(F.col("n_words").cast("int") - have - step + 1, F.lit(0))
+        out = out.withColumn("_h", F.zip_with(F.slice("_h", F.lit(1), n), F.slice("_h", F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b)))
         have += step
-    out = out.withColumn("_s", F.sort_array("_h"))
-    m = F.greatest(F.size("_s") - 1, F.lit(0))
-    out = out.withColumn("_twice", F.array_contains(F.zip_with(F.slice("_s", F.lit(1), m), F.slice("_s", F.lit(2), m), lambda a, b: a == b), True)).drop("_s")
-    out = out.withColumn("n_repeat_words", F.when(F.col("_twice"), _covered(F.col("_h"), w)).otherwise(0).cast("long")).drop("_h", "_twice")
-    out = out.withColumn("_l", F.split(text, "\n"))
-    filled = F.filter(F.col("_l"), lambda x: F.trim(F.translate(x, SPACES, "")) != "")
-    out = out.withColumn("_f", filled)
-    kept_lines = F.filter(F.col("_l"), lambda x: ~line_fails(x, rules))
+    out = out.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), _covered(F.col("_h"), w)).otherwise(0).cast("long")).drop("_h")
+    low = F.lower(text)
+    phrases = F.lit(False)
+    for phrase in BOILERPLATE:
+        phrases |= low.contains(phrase)
+    out = out.withColumns({"n_symbols": _count(text, SYMBOL_CLASS).cast("long"), "_p": phrases, "_l": F.split(text, "\n")})
+    out = out.withColumns({"_f": F.filter("_l", lambda x: x.rlike(f"[^{SPACE_CLASS}]")), "_k": F.filter("_l", lambda x: ~line_fails(x, rules, F.col("n_symbols") > 0, F.col("_p")))})
     out = out.withColumns(
         {
-            "word_chars": _spaceless(text).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size("_f") - F.size(F.array_distinct("_f"))).cast("long"),
-            "_k": kept_lines,
+            "n_lines_removed": (F.size("_l") - F.size("_k")).cast("long"),
+            "kept_text": F.when(F.col(text_col).isNotNull(), F.array_join("_k", "\n")),
+            "base_failed": (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated_percent * F.col("n_words")),
         }
-    )
-    out = out.withColumns({"n_lines_removed": (F.size("_l") - F.size("_k")).cast("long"), "kept_text": F.when(F.col(text_col).isNotNull(), F.array_join("_k", "\n"))}).drop("_l", "_f", "_k")
-    out = out.withColumn("base_failed", (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated_percent * F.col("n_words")))
-    lost = F.col("word_chars") - _spaceless(F.coalesce("kept_text", F.lit("")))
+    ).drop("_l", "_f", "_k", "_p")
+    lost = F.when(F.col("n_lines_removed") > 0, F.col("word_chars") - F.length(_spaceless(F.coalesce("kept_text", F.lit(""))))).otherwise(0)
     return out.withColumn("kept", ~F.col("base_failed") & (lost <= F.col("word_chars") * rules.most_lost))
 
 
