@@ -1 +1 @@
-
+"""DataFrame operators of the rating jobs."""

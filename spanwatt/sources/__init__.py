@@ -1 +1 @@
-
+"""Files in, tables out, and results back to files."""
