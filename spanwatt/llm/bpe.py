@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words that a worker remembers; the oldest half goes when there are more.
-CACHE = 1_000_000
+CACHE = 800_000
 #: Bytes of new words that one query takes.
 QUERY_BYTES = 1 << 16
 #: Words up to so many bytes take one contraction a step.
@@ -176,12 +176,15 @@ def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", to: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", to: str = "ids", decoded: str | None = None) -> DataFrame:
     """Adds column ``to``: the text's token ids (array<int>), special tokens being ordinary text.
 
     A null text is an empty one; an empty text has no ids.  A column of that name gives way.
+    decoded: add a column of that name with the bytes that the ids decode to, as ``decode``
+    does, by the same Python worker: a round trip then needs one worker a task and not two.
     """
-    docs = docs.drop(to)
+    more = [decoded] if decoded else []
+    docs = docs.drop(to, *more)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +195,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", to:
                 ids = codec.encode(texts[lo:hi])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, lists], [*batch.schema.names, to])
+                back = [pa.array([b for x, y in _runs([len(i) for i in ids], 1 << 18) for b in codec.decode(ids[x:y])], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, lists, *back], [*batch.schema.names, to, *more])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))]))
+    made = [T.StructField(to, T.ArrayType(T.IntegerType())), *[T.StructField(c, T.BinaryType()) for c in more]]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *made]))
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:

@@ -21,6 +21,8 @@ from .common import mix, text_chunks
 
 U32, U64 = np.uint32, np.uint64
 NO_LANGUAGE = "und"
+#: Bytes of text that are scored at once; a text of more is scored whole.
+CHUNK = 1 << 19
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -80,7 +82,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         seen = np.zeros((len(langs), s.buckets), np.int64)
         for batch in batches:
             lang = np.array([index[x] for x in batch.column(1).to_pylist()])
-            for lo, hi, data, offsets in text_chunks(batch.column(0)):
+            for lo, hi, data, offsets in text_chunks(batch.column(0), CHUNK):
                 for bucket, first in _grams(data, offsets, s):
                     own = np.repeat(lang[lo:hi], np.diff(first))
                     seen += np.bincount(own * s.buckets + bucket, minlength=seen.size).reshape(seen.shape)
@@ -113,7 +115,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
         log = shared.value.astype(np.float64)
         for batch in batches:
             names, scores = [], []
-            for _, _, data, offsets in text_chunks(batch.column(at)):
+            for _, _, data, offsets in text_chunks(batch.column(at), CHUNK):
                 total = np.tile(log[-1], (len(offsets) - 1, 1))
                 for bucket, first in _grams(data, offsets, s):
                     for k in range(len(langs)):

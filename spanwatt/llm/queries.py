@@ -27,8 +27,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(_docs(spark, sf_dir).select("doc_id", "text"), path, pattern).select("doc_id", "ids")
-    return bpe.decode(bpe.digest(ids), path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = bpe.encode(_docs(spark, sf_dir).select("doc_id", "text"), path, pattern, decoded="decoded")
+    return bpe.digest(made).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
