@@ -10,6 +10,7 @@ form carries its batches' places in a footer, so a memory map gives any sequence
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -27,6 +28,10 @@ from .common import LAST_ID, shared_dir
 CACHE = 900_000
 
 
+#: str.split() also splits at U+001C to U+001F, which the tokenizer keeps.
+_KEPT, _RUNS = re.compile(r"[\x1c-\x1f]"), re.compile(r"[\S\x1c-\x1f]+")
+
+
 def word_encoder(path: str, kind: type) -> Callable[[list[str]], list[bytes]]:
     """Encodes texts with a file of the tokenizers library, without adding special tokens, to
     ids of a numpy type end to end.
@@ -39,7 +44,7 @@ def word_encoder(path: str, kind: type) -> Callable[[list[str]], list[bytes]]:
     tokenizer, known = Tokenizer.from_file(path), {}
 
     def encode(texts: list[str]) -> list[bytes]:
-        words = [t.split() for t in texts]
+        words = [_RUNS.findall(t) if _KEPT.search(t) else t.split() for t in texts]
         every = set(chain.from_iterable(words))
         if len(known) + len(every) > CACHE:
             for w in [w for w, _ in zip(known, range(len(known) // 2), strict=False)]:

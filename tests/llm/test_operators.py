@@ -301,3 +301,15 @@ def test_pipeline(spark):
     for r in now.collect():
         assert r.ids == codec.encode_ordinary(texts[r.doc_id])
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_token_separators(spark):
+    """The tokenizer keeps U+001C to U+001F, which str.split() drops."""
+    from tokenizers import Tokenizer
+
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    whole, texts = Tokenizer.from_file(path), ["a\x1fb", "one\x1c two\x1d\x1e", "\x1f", "plain\x85text\u00a0here\u2028x"]
+    want = [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    for r in token_files.token_table(spark, make(spark, texts), path).collect():
+        assert (r.start, r.n_tokens) == (sum(map(len, want[: r.doc_id])), len(want[r.doc_id]))
+        assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in want[r.doc_id]))
