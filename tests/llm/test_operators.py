@@ -313,3 +313,16 @@ def test_token_separators(spark):
     for r in token_files.token_table(spark, make(spark, texts), path).collect():
         assert (r.start, r.n_tokens) == (sum(map(len, want[: r.doc_id])), len(want[r.doc_id]))
         assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in want[r.doc_id]))
+
+
+def test_pipeline_one_of_each_group(spark):
+    """Repeated rows, shared ids and null ids: one row of each group."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    a, b, c, d = (base(rng, 80) for _ in range(4))
+    rows = [(1, a), (1, a), (1, a + " end"), (2, b), (2, c), (None, b), (None, d), (None, d), (None, d + " end"), (3, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
+    assert len(kept) == 4 and {(2, b), (2, c)} < set(kept)
+    assert sum(i == 1 for i, _ in kept) == 1 and sum(i is None for i, _ in kept) == 1
