@@ -100,24 +100,27 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """Adds lang_pred and score (the posterior of lang_pred) to every row; a column of such a
+    """Adds lang_pred, score (the posterior of lang_pred) and fit (the mean log probability of
+    an n-gram in lang_pred, which doesn't grow with the text) to every row; a column of such a
     name gives way.
 
-    A null text, a text without a letter, or a model without languages: ``und`` and 0.  A tie
+    A null text, a text without a letter, or a model without languages: ``und``, 0, a null fit.  A tie
     goes to the language that comes first by name.  Whole texts count, however long.
     """
     s, (langs, table) = settings, model
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "fit")
     shared = docs.sparkSession.sparkContext.broadcast(table)
     at = docs.columns.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log = shared.value.astype(np.float64)
         for batch in batches:
-            names, scores = [], []
+            names, scores, fits = [], [], []
             for _, _, data, offsets in text_chunks(batch.column(at), CHUNK):
                 total = np.tile(log[-1], (len(offsets) - 1, 1))
+                grams = np.zeros(len(total), np.int64)
                 for bucket, first in _grams(data, offsets, s):
+                    grams += first[1:] - first[:-1]
                     for k in range(len(langs)):
                         run = np.concatenate([[0.0], np.cumsum(log[bucket, k])])
                         total[:, k] += run[first[1:]] - run[first[:-1]]
@@ -127,9 +130,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                     known = bool(langs) and _LETTER.search(data[a:b].tobytes().decode("utf-8", "replace")) is not None
                     names.append(langs[best[k]] if known else NO_LANGUAGE)
                     scores.append(float(top[k]) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+                    fits.append(float((total[k, best[k]] - log[-1, best[k]]) / grams[k]) if known and grams[k] else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())], [*batch.schema.names, "lang_pred", "score", "fit"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())])
     return docs.mapInArrow(score, schema)
 
 

@@ -326,3 +326,17 @@ def test_pipeline_one_of_each_group(spark):
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
     assert len(kept) == 4 and {(2, b), (2, c)} < set(kept)
     assert sum(i == 1 for i, _ in kept) == 1 and sum(i is None for i, _ in kept) == 1
+
+
+def test_pipeline_languages(spark):
+    """Gibberish and languages without a label go, labelled ones stay."""
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (60, 100, 300, 1000, 5000)]
+    junk += ["Широкая электрификация южных губерний даст мощный толчок подъёму сельского хозяйства", "いろはにほへと散りぬるを我が世誰ぞ常ならむ有為の奥山今日越えて浅き夢見じ酔ひもせず", "Zażółć gęślą jaźń, a potem wszyscy poszliśmy do domu, bo było już bardzo późno"]
+    more = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(junk)], SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs.union(more), SF).select("doc_id").collect()}
+    assert not [i for i in kept if i >= 10**6]
+    assert len(kept) > 0.97 * docs.count()
