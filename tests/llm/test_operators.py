@@ -214,6 +214,32 @@ def test_line_links(spark):
     assert want and set(found) <= set(want) and groups(found) == groups(want)
 
 
+def test_line_numbers(spark):
+    """Lines that differ in much of their digits both stay; typography doesn't tell lines apart."""
+    pairs = [("2021 42.1 kg", "7 kg"), ("2021 kg", "7315 kg"), ("4711", "9035"), ("a\u2013b \u201cc\u201d d\u00a0e", 'A-b "c" d e'), ("90210 31337", "90210 31337"), ("12,50 \u20ac", "99,99 \u20ac")]
+    got = {r.doc_id: r for r in line_dedup.dedup(make(spark, [f"{a}\n{b}" for a, b in pairs])).collect()}
+    assert [got[k].n_lines_removed for k in range(len(pairs))] == [0, 0, 0, 1, 1, 0]
+
+
+def test_line_recall(spark):
+    """Against all pairs of enough edit similarity, whatever their SimHashes."""
+    rng = random.Random(9)
+    lines = set()
+    for n in [10] * 40 + [20] * 15:
+        w = base(rng, n).split(" ")
+        k = rng.randrange(n)
+        lines |= {" ".join(w), " ".join([*w[:k], base(rng, 1), *w[k + 1 :]])}
+    for _ in range(15):  # no spaces
+        w = [chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(30)]
+        lines |= {"".join(w), "".join([*w[:11], "\u4e00\u4e01", *w[13:]])}
+    rows = spark.createDataFrame([(x,) for x in sorted(lines)], "norm string").withColumn("h", F.xxhash64("norm"))
+    a, b = (rows.select(F.col("norm").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
+    most = F.floor(F.greatest(F.length("a"), F.length("b")) * 0.2 + 1e-9).cast("int")
+    want = {(r.ha, r.hb) for r in a.join(b, F.col("ha") < F.col("hb")).where(F.abs(F.length("a") - F.length("b")) <= most).where(F.call_function("levenshtein", F.col("a"), F.col("b"), most) >= 0).collect()}
+    found = {(min(r), max(r)) for r in line_dedup.links(rows, bits=16).collect()}
+    assert len(want) > 60 and len(found & want) / len(want) > 0.6 and found <= want
+
+
 def test_components(spark):
     rng = random.Random(7)
     pairs = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)]
@@ -246,6 +272,18 @@ def test_token_files(spark, odd, none):
     assert tail.sum() == (made[0].n_tokens - 1) % 8 + 1 and last[tail][-1] == 1
 
 
+def test_token_separators(spark):
+    """The tokenizer keeps U+001C to U+001F, which str.split() drops."""
+    from tokenizers import Tokenizer
+
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    whole, texts = Tokenizer.from_file(path), ["a\x1fb", "one\x1c two\x1d\x1e", "\x1f", "plain\x85text\u00a0here\u2028x"]
+    want = [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    for r in token_files.token_table(spark, make(spark, texts), path).collect():
+        assert (r.start, r.n_tokens) == (sum(map(len, want[: r.doc_id])), len(want[r.doc_id]))
+        assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in want[r.doc_id]))
+
+
 def shingles(text):
     w = words(text)
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -303,16 +341,18 @@ def test_pipeline(spark):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
-def test_token_separators(spark):
-    """The tokenizer keeps U+001C to U+001F, which str.split() drops."""
-    from tokenizers import Tokenizer
+def test_pipeline_languages(spark):
+    """Gibberish and languages without a label go, labelled ones stay."""
+    import corpus_pipeline
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
-    whole, texts = Tokenizer.from_file(path), ["a\x1fb", "one\x1c two\x1d\x1e", "\x1f", "plain\x85text\u00a0here\u2028x"]
-    want = [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
-    for r in token_files.token_table(spark, make(spark, texts), path).collect():
-        assert (r.start, r.n_tokens) == (sum(map(len, want[: r.doc_id])), len(want[r.doc_id]))
-        assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in want[r.doc_id]))
+    rng = random.Random(10)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (60, 100, 300, 1000, 5000)]
+    junk += ["Широкая электрификация южных губерний даст мощный толчок подъёму сельского хозяйства", "いろはにほへと散りぬるを我が世誰ぞ常ならむ有為の奥山今日越えて浅き夢見じ酔ひもせず", "Zażółć gęślą jaźń, a potem wszyscy poszliśmy do domu, bo było już bardzo późno"]
+    more = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(junk)], SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs.union(more), SF).select("doc_id").collect()}
+    assert not [i for i in kept if i >= 10**6]
+    assert len(kept) > 0.97 * docs.count()
 
 
 def test_pipeline_one_of_each_group(spark):
@@ -326,17 +366,3 @@ def test_pipeline_one_of_each_group(spark):
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
     assert len(kept) == 4 and {(2, b), (2, c)} < set(kept)
     assert sum(i == 1 for i, _ in kept) == 1 and sum(i is None for i, _ in kept) == 1
-
-
-def test_pipeline_languages(spark):
-    """Gibberish and languages without a label go, labelled ones stay."""
-    import corpus_pipeline
-
-    rng = random.Random(10)
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
-    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (60, 100, 300, 1000, 5000)]
-    junk += ["Широкая электрификация южных губерний даст мощный толчок подъёму сельского хозяйства", "いろはにほへと散りぬるを我が世誰ぞ常ならむ有為の奥山今日越えて浅き夢見じ酔ひもせず", "Zażółć gęślą jaźń, a potem wszyscy poszliśmy do domu, bo było już bardzo późno"]
-    more = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(junk)], SCHEMA)
-    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs.union(more), SF).select("doc_id").collect()}
-    assert not [i for i in kept if i >= 10**6]
-    assert len(kept) > 0.97 * docs.count()
