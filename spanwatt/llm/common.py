@@ -9,12 +9,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Takes the place of a null doc_id: such a row counts as the last document.
 LAST_ID = 2**63 - 1
 U64 = np.uint64
+#: And that of a null id that isn't a number: no text lies after it.
+LAST_TEXT = "\U0010ffff" * 4
+
+
+def ranked(df: DataFrame, id_col: str) -> Column:
+    """An id to order rows by: a whole number, or the text of any other id; a null is the last."""
+    whole = isinstance(df.schema[id_col].dataType, IntegralType)
+    return F.coalesce(F.col(id_col).cast("long" if whole else "string"), F.lit(LAST_ID if whole else LAST_TEXT))
 
 
 def shared_dir(spark: SparkSession) -> str:
