@@ -4,13 +4,16 @@ A data set is a folder of pairs of Arrow IPC files, one pair for each range of i
 ``part-00000.arrow`` with record batches of two fixed-size-list columns, ``ids`` (unsigned
 integers, little-endian) and ``mask`` (true for a token, false for padding), and
 ``part-00000.docs.arrow`` with the documents of the part: id, start (in the part), n_tokens.
-Documents follow each other without gaps; only a part's last sequence is padded.  The file
-form carries its batches' places in a footer, so a memory map gives any sequence without a copy.
+Documents follow each other without gaps; only a part's last sequence is padded.  All batches
+but a part's last hold equally many sequences, and the file form carries their places in a
+footer, so a memory map gives any sequence without a copy.
 """
 
 from __future__ import annotations
 
 import re
+import string
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import LAST_ID, shared_dir
 
 #: Words kept by a Python worker with their ids; the oldest half goes when there are more.
-CACHE = 900_000
-
+#: Words of more characters than this are not kept.
+CACHE, LONGEST = 900_000, 64
+#: Sequences of a record batch; only a part's last batch has fewer.
+ROWS = 64
 
 #: str.split() also splits at U+001C to U+001F, which the tokenizer keeps.
 _KEPT, _RUNS = re.compile(r"[\x1c-\x1f]"), re.compile(r"[\S\x1c-\x1f]+")
@@ -37,11 +42,43 @@ def word_encoder(path: str, kind: type) -> Callable[[list[str]], list[bytes]]:
     ids of a numpy type end to end.
 
     The tokenizer drops white space and splits there, so a text's ids are those of its
-    space-free runs end to end; each run is encoded once and then remembered.
+    space-free runs end to end; each run is encoded once and then remembered.  It also splits
+    letters from marks, and ignores case: a run of letters (that are still letters as it reads
+    them, composed and in lower case) before ASCII marks has the ids of
+    both, and runs of letters are encoded many at a time, as a text, and told apart by the
+    tokens that end a word.  Where these are not as many as the runs, each goes by itself.
     """
     from tokenizers import Tokenizer
 
     tokenizer, known = Tokenizer.from_file(path), {}
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        ends[i] = token.endswith("</w>")
+
+    def singly(words: list[str]) -> None:
+        known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True))
+
+    def learn(words: set[str]) -> None:
+        cut, other = {}, []
+        for w in words:
+            head = w.rstrip(string.punctuation)
+            if head.isalpha() and head.isascii():
+                cut[w] = head.lower(), w[len(head) :]
+            elif head.isalpha() and unicodedata.normalize("NFC", head).lower().isalpha():
+                cut[w] = head, w[len(head) :]
+            else:
+                other.append(w)
+        letters = list({head for head, _ in cut.values()}.difference(known))
+        for run in (letters[k : k + 4096] for k in range(0, len(letters), 4096)):
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, np.int64)
+            last = np.flatnonzero(ends[ids]) + 1
+            if len(last) == len(run) and last[-1] == len(ids):
+                raw, at = ids.astype(kind).tobytes(), [0, *(last * kind().itemsize).tolist()]
+                known.update((w, raw[a:b]) for w, a, b in zip(run, at[:-1], at[1:], strict=True))
+            else:
+                singly(run)
+        singly([*other, *{tail for _, tail in cut.values() if tail}.difference(known)])
+        known.update((w, known[head] + known[tail] if tail else known[head]) for w, (head, tail) in cut.items())
 
     def encode(texts: list[str]) -> list[bytes]:
         words = [_RUNS.findall(t) if _KEPT.search(t) else t.split() for t in texts]
@@ -49,10 +86,15 @@ def word_encoder(path: str, kind: type) -> Callable[[list[str]], list[bytes]]:
         if len(known) + len(every) > CACHE:
             for w in [w for w, _ in zip(known, range(len(known) // 2), strict=False)]:
                 del known[w]
-        missing = list(every.difference(known))
+        missing = every.difference(known)
         if missing:
-            known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True))
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+            learn(missing)
+        made = [b"".join(map(known.__getitem__, ws)) for ws in words]
+        for w in missing:
+            if len(w) > LONGEST:
+                for x in {w, (head := w.rstrip(string.punctuation)), head.lower(), w[len(head) :]}:
+                    known.pop(x, None)
+        return made
 
     return encode
 
@@ -106,12 +148,12 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
                 by_doc.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(total + np.cumsum(n) - n), pa.array(n)], schema=index))
                 total, docs_seen = total + int(n.sum()), docs_seen + len(n)
                 left = np.concatenate([left, np.frombuffer(b"".join(ids), kind)])
-                whole = len(left) // sequence * sequence
-                if whole:
-                    put(left[:whole], whole)
-                    left = left[whole:]
+                whole = len(left) // (sequence * ROWS) * sequence * ROWS
+                for lo in range(0, whole, sequence * ROWS):
+                    put(left[lo : lo + sequence * ROWS], sequence * ROWS)
+                left = left[whole:]
             if len(left):
-                put(np.concatenate([left, np.zeros(sequence - len(left), kind)]), len(left))
+                put(np.concatenate([left, np.zeros(-len(left) % sequence, kind)]), len(left))
         if docs_seen:
             files.move(own + ".d", name + ".docs.arrow")
             files.move(own + ".s", name + ".arrow")
@@ -129,7 +171,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
 
 
 def read_tokens(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Reads the files back, a task for each few pairs: id, start (tokens of all documents
+    """Reads the files back, in as many tasks as there are pairs: id, start (tokens of all documents
     before), n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +182,7 @@ def read_tokens(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.compute.add(docs.column("start"), first), docs.column("n_tokens"), pa.array(crc, pa.int64())], ["i", "start", "n_tokens", "ids_crc32"])
 
     first = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = manifest.select("path", first.alias("first"), "part").repartition(F.col("part")).select("path", "first")
+    rows = manifest.select("path", first.alias("first"), "part").repartition(max(1, manifest.count()), "part").select("path", "first")
     return rows.mapInArrow(read, "i long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("i", id_col)
 
 
@@ -168,17 +210,14 @@ def _documents(path: str) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
 
 
 def sequences(path: str, numbers: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sequences of a part by number: (ids, mask).  In a local file the ids are views of the
-    memory map."""
-    data = _open(path + ".arrow")
-    ends = np.cumsum([data.get_batch(k).num_rows for k in range(data.num_record_batches)])
-    out = []
+    """Sequences of a part by number: (ids, mask).  Only the batches that hold them are looked
+    at.  In a local file the ids are views of the memory map; the mask's bits are unpacked."""
+    data, out = _open(path + ".arrow"), []
     for i in numbers:
-        k = int(np.searchsorted(ends, i, "right"))
-        batch, row = data.get_batch(k), i - int(ends[k - 1] if k else 0)
+        batch, row = data.get_batch(i // ROWS), i % ROWS
         size = batch.schema.field("ids").type.list_size
-        ids = batch.column("ids").values.to_numpy()[row * size : (row + 1) * size]
-        out.append((ids, np.array(batch.column("mask")[row].as_py())))
+        ids, mask = (batch.column(c).values.slice(row * size, size) for c in ("ids", "mask"))
+        out.append((ids.to_numpy(), mask.to_numpy(zero_copy_only=False)))
     return out
 
 

@@ -284,6 +284,20 @@ def test_token_separators(spark):
         assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in want[r.doc_id]))
 
 
+def test_word_encoder():
+    """Letters, marks, contractions, control and combining characters, and the tokenizer's own special tokens."""
+    from tokenizers import Tokenizer
+
+    path, rng = f"{TOKENIZERS}/word_bpe_49k.json", random.Random(11)
+    whole, encode = Tokenizer.from_file(path), token_files.word_encoder(path, token_files.np.uint16)
+    pieces = ["a", "B", "zé", "é", "e\u0301", "İ", "ß", "Σ", "中文", "한", "\u1112\u1161", "'s", "'LL", "n't", "don't", ",", "!!", "#'", "<|endoftext|>", "<|", "7", "½", "٣", "😀", "\u0338", "=", "<", " ", "  ", "\n", "\t", "\x00", "\x1c", "\x1f", "\x85", "\u00a0", "\u200b", "\u2028", "\ufeff", "x" * 90]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(4000)] + [chr(c) + "a" + chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(texts), 500):
+        part = texts[lo : lo + 500]
+        for t, got in zip(part, encode(part), strict=True):
+            assert token_files.np.frombuffer(got, token_files.np.uint16).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def shingles(text):
     w = words(text)
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
