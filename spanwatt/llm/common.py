@@ -20,6 +20,10 @@ U64 = np.uint64
 LAST_TEXT = "\U0010ffff" * 4
 
 
+#: Spark's setting by which the shuffle files of an execution are deleted at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def ranked(df: DataFrame, id_col: str) -> Column:
     """An id to order rows by: a whole number, or the text of any other id; a null is the last."""
     whole = isinstance(df.schema[id_col].dataType, IntegralType)
@@ -43,10 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder and read again: cuts the lineage, and a
-    lost executor costs no more than the reading."""
+    lost executor costs no more than the reading.  The job's shuffle files go once the table is
+    there, as nothing reads them again."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
