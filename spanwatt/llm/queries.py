@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard_join, kd_sharding, language_id, line_dedup, quality_rules, substring_dedup, suffix_dedup, token_files
+from . import bpe, collocations, decontamination, jaccard_join, kd_sharding, language_id, line_dedup, quality_rules, substring_dedup, suffix_dedup, token_files
 
 #: Folder of the vocabulary files; a parameter of the deployment.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR") or os.path.dirname(public_tokenizers.path("x"))
@@ -72,8 +72,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_docs(spark, sf_dir))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_kd_sharding, op4_substring_dedup, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_line_dedup, op9_token_files, op10_jaccard_join)
+    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_kd_sharding, op4_substring_dedup, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_line_dedup, op9_token_files, op10_jaccard_join, op11_phrase_mining)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
@@ -167,3 +171,39 @@ with d as (
 select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(k, ''))) as kept_sha256
 from d left join counts using (doc_id) left join kept using (doc_id)
 """
+
+SQL["op11_phrase_mining"] = r"""
+with d as (
+    select row_number() over () as id, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+), p as (
+    select row_number() over () as id, lang, piece from (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\n-\r]')) as piece from d)
+), w as (
+    select id, lang, unnest(regexp_split_to_array(piece, '[ \t]+')) as w, generate_subscripts(regexp_split_to_array(piece, '[ \t]+'), 1) as i from p
+), next as materialized (
+    select lang, w as w1, lead(w, 1) over o as w2, lead(w, 2) over o as w3, lead(w, 3) over o as w4, lead(w, 4) over o as w5 from w where w <> '' window o as (partition by id order by i)
+), grams as (
+    select lang, 1 as m, w1 as phrase from next union all select lang, 2, w1 || ' ' || w2 from next where w2 is not null union all select lang, 3, w1 || ' ' || w2 || ' ' || w3 from next where w3 is not null
+    union all select lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 from next where w4 is not null union all select lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 from next where w5 is not null
+), f as materialized (
+    select lang, m, phrase, count(*) as f from grams group by all
+), total as materialized (
+    select lang, sum(f) as n from f where m = 1 group by 1
+), cand as materialized (
+    select * from f where m > 1 and f >= 100
+), cut as materialized (
+    select c.lang, c.m, c.phrase, c.f as a, k, array_to_string(string_split(c.phrase, ' ')[1 : k], ' ') as head, array_to_string(string_split(c.phrase, ' ')[k + 1 :], ' ') as rest
+    from cand c, unnest(range(1, c.m)) as u(k)
+), scored as materialized (
+    select cut.*, h.f as l, r.f as r, n::bigint as n, ((1000::hugeint * a * n::hugeint) // (h.f::hugeint * r.f))::bigint as score
+    from cut join f h on h.lang = cut.lang and h.phrase = head join f r on r.lang = cut.lang and r.phrase = rest join total on total.lang = cut.lang
+), low as materialized (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), held as materialized (
+    select distinct lang, array_to_string(string_split(phrase, ' ')[i : i + k - 1], ' ') as phrase, f as longer from cand, unnest(range(2, m)) as a(k), unnest(range(1, m - k + 2)) as b(i)
+), alone as (
+    select * from low where not exists (select 1 from held where held.lang = low.lang and held.phrase = low.phrase and 100 * longer >= 100 * a)
+), ranked as (
+    select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from alone
+)
+select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000
+"""
