@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Lane, mix, text_chunks, words_of, written
+from .common import U64, Lane, mix, stretches, words_of, written
 
 NO_LANGUAGE = "und"
 LONGEST = 5
@@ -42,25 +42,15 @@ WORD = ~BREAK
 WORD[[0x20, 0x09]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Words that a task counts at once, bytes of text taken at once, and counts that a task holds.
-WORDS, CHUNK, HELD = 3_000_000, 2 << 20, 400_000
+#: Words that a task counts at once, and counts that it holds.
+WORDS, HELD = 3_000_000, 400_000
 MOST_BITS = 28
 
 
 def _stretches(texts: pa.Array, langs: list[str | None]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
     """Runs of texts: language of each row, bytes, offsets; one long text comes in several."""
-    for lo, hi, data, offsets in text_chunks(texts, CHUNK):
-        own = [x if x is not None else NO_LANGUAGE for x in langs[lo:hi]]
-        if hi - lo > 1 or len(data) <= 2 * CHUNK:
-            yield own, data, offsets
-            continue
-        ends = np.flatnonzero(BREAK[data]) + 1
-        at = 0
-        while at < len(data):
-            k = np.searchsorted(ends, at + CHUNK, "right")
-            end = int(ends[k - 1]) if k and ends[k - 1] > at else int(ends[k]) if k < len(ends) else len(data)
-            yield own, data[at:end], np.array([0, end - at])
-            at = end
+    for lo, hi, data, offsets in stretches(texts, lambda x: BREAK[x]):
+        yield [x if x is not None else NO_LANGUAGE for x in langs[lo:hi]], data, offsets
 
 
 class _Words:

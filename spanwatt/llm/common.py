@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +83,21 @@ def text_chunks(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, in
         lo = hi
 
 
+def stretches(column: pa.Array, ends: Callable[[np.ndarray], np.ndarray], most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``text_chunks``, but a text of more than twice ``most`` bytes comes in several runs.  It is
+    cut after bytes that ``ends`` marks, where it has such."""
+    for lo, hi, data, offsets in text_chunks(column, most):
+        if hi - lo > 1 or len(data) <= 2 * most:
+            yield lo, hi, data, offsets
+            continue
+        cuts, at = np.flatnonzero(ends(data)) + 1, 0
+        while at < len(data):
+            k = int(np.searchsorted(cuts, at + most, "right"))
+            end = int(cuts[k - 1]) if k and cuts[k - 1] > at else int(cuts[k]) if k < len(cuts) else len(data)
+            yield lo, hi, data[at:end], np.array([0, end - at])
+            at = end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontamination, jaccard_join, kd_sharding, language_id, line_dedup, quality_rules, substring_dedup, suffix_dedup, token_files
+from . import bpe, collocations, decontamination, jaccard_join, kd_sharding, language_id, line_dedup, quality_rules, spelling, substring_dedup, suffix_dedup, token_files
 
 #: Folder of the vocabulary files; a parameter of the deployment.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR") or os.path.dirname(public_tokenizers.path("x"))
@@ -76,8 +76,13 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_docs(spark, sf_dir))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(_docs(spark, sf_dir))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_kd_sharding, op4_substring_dedup, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_line_dedup, op9_token_files, op10_jaccard_join, op11_phrase_mining)
+    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_kd_sharding, op4_substring_dedup, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_line_dedup, op9_token_files, op10_jaccard_join, op11_phrase_mining, op12_spelling_variants)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
@@ -207,3 +212,40 @@ with d as (
 )
 select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000
 """
+
+SQL["op12_spelling_variants"] = r"""
+with recursive bits(v, c, k) as (
+    select v, v, 0 from range(256) as r(v)
+    union all
+    select v, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, k + 1 from bits where k < 8
+), crc as materialized (
+    select list(c order by v) as t from bits where k = 8
+), runs as materialized (
+    select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as w from documents
+), counted as materialized (
+    select id, w, count(*) as n from runs where length(w) >= 5 group by all
+), bytes as (
+    select id, w, n, flatten(list_transform(string_split(id || ':' || w, ''), lambda x: case when ord(x) < 128 then [ord(x)::bigint] else [195, ord(x)::bigint - 64] end)) as b from counted
+), hashed as (
+    select id, w, n, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295), 4294967295) as h from bytes, crc
+), spelt as (
+    select case when h % 97 = 0 then left(w, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, n from hashed
+), v as materialized (
+    select word, sum(n)::bigint as n from spelt where length(word) >= 5 group by 1 having sum(n) >= 3
+), less as materialized (
+    select word, n, i, left(word, i - 1) || substr(word, i + 1) as d from (select word, n, unnest(range(1, length(word) + 1)) as i from v)
+), near as materialized (
+    select a.word, b.word as near, b.n from less a join less b on a.i = b.i and a.d = b.d and a.word <> b.word and length(a.word) = length(b.word)
+    union select a.word, v.word, v.n from less a join v on a.d = v.word
+    union select v.word, a.word, a.n from less a join v on a.d = v.word
+), best as materialized (
+    select v.word, v.n, count(near.near) as n_near, arg_min(near.near, (-near.n, near.near)) as best, max(near.n) as best_n from v left join near on near.word = v.word group by all
+), forms as materialized (
+    select word, n, n_near, case when best_n >= 2 * n then best end as form, case when best_n >= 2 * n then best_n end as form_n from best
+), chain(word, root, k) as (
+    select word, word, 0 from forms union all select chain.word, forms.form, k + 1 from chain join forms on forms.word = chain.root where forms.form is not null
+), ends as (
+    select word, arg_max(root, k) as root from chain group by 1
+)
+select word, form, root, n::bigint as n, n_near::bigint as n_near, form_n::bigint as form_n from forms join ends using (word)
+"""
