@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontamination, jaccard_join, kd_sharding, language_id, line_dedup, quality_rules, spelling, substring_dedup, suffix_dedup, token_files
+from . import bpe, collocations, decontamination, jaccard_join, kd_sharding, language_id, line_dedup, nearest, quality_rules, spelling, substring_dedup, suffix_dedup, token_files
 
 #: Folder of the vocabulary files; a parameter of the deployment.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR") or os.path.dirname(public_tokenizers.path("x"))
@@ -81,8 +81,13 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest.nearest(vectors, vectors.where("vec_id % 100 = 0")).select("query_id", "rank", "vec_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_kd_sharding, op4_substring_dedup, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_line_dedup, op9_token_files, op10_jaccard_join, op11_phrase_mining, op12_spelling_variants)
+    f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_kd_sharding, op4_substring_dedup, op5_quality_rules, op6_decontamination, op7_suffix_dedup, op8_line_dedup, op9_token_files, op10_jaccard_join, op11_phrase_mining, op12_spelling_variants, op13_nearest_neighbours)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
