@@ -32,9 +32,9 @@ def first_elevation(df: DataFrame) -> DataFrame:
 
 
 def rate_steady(corrected: DataFrame, conductor: Conductor, surface: float | None = None) -> DataFrame:
-    """Adds raw_rating_a, the current that holds the highest allowed temperature, and
+    """Adds rated_elevation, unless the rows are a part of a series and bring it; raw_rating_a, the current that holds the highest allowed temperature, and
     rating_a, which is published: the safety factor applies once, to finite ratings only."""
-    df = first_elevation(corrected)
+    df = corrected if "rated_elevation" in corrected.columns else first_elevation(corrected)
     parts = physics.heat_balance(conductor, F.lit(surface or conductor.max_temp), F.col("ambient_temp_local"), F.col("wind_speed_local"), F.col("wind_angle_deg"), F.col("rated_elevation"), F.col("solar_radiation_local"))
     raw = parts["current_a"]
     return publish(df.withColumn("raw_rating_a", raw))

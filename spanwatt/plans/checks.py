@@ -156,20 +156,52 @@ def dataset_overlap(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ sag
 
 
-def sag_prepared(spark: SparkSession, sf: str) -> DataFrame:
-    """Inclination readings with the published ratings of their tower and time; spans are the
-    default here, ``span_and_weight`` has those of the table of places."""
-    frozen = sag.snapshot(w.rated(spark, sf), w.tower_places(spark, sf), WIRE)
+def sag_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings of the fixture with a current that the line carried on two of three."""
     order = Window.partitionBy("tower_id").orderBy("sample_order")
-    samples = view(spark, sf, "inclination_raw").withColumn("sample_index", (F.row_number().over(order) - 1).cast("long"))
-    df = sag.match_snapshot(samples, frozen.drop("lon", "lat"))
-    wire = CONDUCTORS["4×JL/G1A-630/45"]
-    null = F.lit(None).cast("double")
-    weight, source = sag.unit_weight(null, null, F.lit(wire["mass_per_length_kg_m"]), F.array().cast("array<struct<mass:double>>"))
-    df = df.withColumns({"unit_weight_n_m": weight, "weight_source": source, "span_m": F.lit(SAG["span_m"]), "area_m2": F.lit(wire["area_m2"])})
-    lit = {k: (None, SAG[k]) for k in ("reference_tension_n", "reference_temp_c", "elastic_modulus_pa", "thermal_expansion_per_c")}
-    lit |= {"area_m2": (None, None), "theoretical_temp_c": (F.when(F.col("ambient_temp_c").isNotNull(), F.lit(SAG["reference_temp_c"])), None), "recalculated_current_a": (sag.theoretical(WIRE), None), "original_current_a": (None, None)}
-    return sag.measured(sag.resolved(df, lit))
+    k = F.col("sample_order")
+    carried = F.when(k % 3 != 0, (200 + (k * 17) % 900).cast("double"))
+    return view(spark, sf, "inclination_raw").withColumns({"sample_index": (F.row_number().over(order) - 1).cast("long"), "operating_current_a": carried})
+
+
+def sag_prepared(spark: SparkSession, sf: str) -> DataFrame:
+    """Inclination readings (a fixture: clicks and views) with the published ratings of their tower and time.
+
+    Only the grid's rows that a reading asks for are corrected and rated.  At even hours the snapshot knows the current
+    that a line carried: seven tenths of its rating.
+    """
+    samples = sag_samples(spark, sf)
+    rated = w.rated(spark, sf, samples.select("tower_id", "timestamp").distinct())
+    rated = rated.withColumn("operating_currents", F.when(F.hour("timestamp") % 2 == 0, F.col("rating_a") * 0.7))
+    places = w.tower_places(spark, sf)
+    towers = w.clean(spark, sf).select("line_id", "tower_id").distinct().join(places, "tower_id", "left")
+    wire = {k: v for k, v in CONDUCTORS["4×JL/G1A-630/45"].items() if k in ("area_m2", "mass_per_length_kg_m")}
+    return sag.prepared(samples, sag.snapshot(rated, places), towers, WIRE, wire)
+
+
+def sag_temperature(spark: SparkSession, sf: str) -> DataFrame:
+    """The solver against the heat balance: what it finds, and the residual there."""
+    df = sag_prepared(spark, sf).where("operating_current_a is not null and snapshot_temp_c is not null")
+    solved = sag.solved_temperature(WIRE, F.col("operating_current_a"))
+    df = df.withColumn("solved", solved)
+    left = sag.residual(WIRE, F.col("solved"), F.col("operating_current_a"))
+    return df.select("sample_order", "tower_id", r6("operating_current_a", 4).alias("operating_current_a"), r6("solved", 4).alias("theoretical_temp_c"), (F.abs(left) <= 1e-6).alias("verified"))
+
+
+def sag_direct(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings that bring all parameters themselves; some break a rule."""
+    k = F.col("sample_order")
+    df = sag_samples(spark, sf).drop("operating_current_a").withColumns({
+        "span_m": F.when(k % 41 != 0, 200.0 + k % 300), "unit_weight_n_m": 8.0 + k % 5, "reference_tension_n": F.lit(9000.0), "reference_temp_c": F.lit(20.0), "elastic_modulus_pa": F.lit(7e10), "area_m2": F.when(k % 43 == 0, 0.0).otherwise(6.75e-4),
+        "thermal_expansion_per_c": F.lit(1.9e-5), "ambient_temp_c": (k % 30).cast("double"), "theoretical_temp_c": F.when(k % 47 == 0, 2000.0).otherwise(25.0 + k % 20), "original_current_a": F.when(k % 53 == 0, -1.0).otherwise(800.0 + k % 100), "recalculated_current_a": 700.0 + k % 150, "wind_speed": F.when(k % 7 != 0, (k % 11).cast("double")),
+    })
+    made = sag.validate(sag.direct(df))
+    return made.select("tower_id", "sample_index", "state", "error_code", *[r6(c, 4).alias(c) for c in ("threshold_c", "derating_factor", "checked_current_a", "final_current_a")])
+
+
+def sag_label(spark: SparkSession, sf: str) -> DataFrame:
+    """The label of a run over all towers."""
+    return sag.tower_label(sag_samples(spark, sf))
 
 
 def span_and_weight(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,7 +267,7 @@ QUERIES = {
     for f in (
         asof_alignment, alignment_report, height_normalised, weather_metrics, segments_lag, weather_features, holdout_split, residual_bounds, residual_models, predictions,
         admission, promotion_decisions, promoted_heads, rejected_attempts, model_load_status, line_identity, input_hash, dataset_overlap, span_and_weight, sag_formulas,
-        sag_sources, sag_states, sag_counts, steady_temperature, transient_profile, time_to_max, window_rating, audit_summary,
+        sag_sources, sag_states, sag_counts, sag_temperature, sag_direct, sag_label, steady_temperature, transient_profile, time_to_max, window_rating, audit_summary,
     )
 }
 
@@ -305,18 +337,81 @@ CAND = """cand as (
 )"""
 
 _WIRE = CONDUCTORS["4×JL/G1A-630/45"]
-SAG_SQL = f"""{w.RATED},
-full_rated as (select r.*, amp as raw from rated r),
-samples as (select *, row_number() over (partition by tower_id order by sample_order) - 1 as sample_index from ({sql("inclination_raw", "duckdb")})),
+SAMPLES = f"""samples as (
+    select *, row_number() over (partition by tower_id order by sample_order) - 1 as sample_index, case when sample_order % 3 <> 0 then (200 + (sample_order * 17) % 900)::double end as own_amp from ({sql("inclination_raw", "duckdb")})
+)"""
+
+
+def _residual(t: str) -> str:
+    """W/m of a row of ``joined`` at the temperature in column t under its current op."""
+    c, tm = WIRE, f"(({t} + air) / 2)"
+    rho = f"((1.293::double - 1.525e-4 * el + 6.379e-9 * el * el) / (1 + 0.00367::double * {tm}))"
+    mu = f"(1.458e-6 * pow({tm} + 273.15::double, 1.5::double) / ({tm} + 383.4::double))"
+    forced = f"((1.194::double - cos(radians(angle)) + 0.194::double * cos(2 * radians(angle)) + 0.368::double * sin(2 * radians(angle))) * (2.424e-2::double + 7.477e-5 * {tm} - 4.407e-9 * {tm} * {tm}) * abs({t} - air))"
+    re = f"({c.diameter}::double * {rho} * wind_l / {mu})"
+    natural = f"3.645::double * sqrt({rho}) * pow({c.diameter}::double, 0.75::double) * pow(abs({t} - air), 1.25::double)"
+    low, high = f"case when wind_l = 0 then 0 else {forced} * (1.01::double + 1.35::double * pow({re}, 0.52::double)) end", f"case when wind_l = 0 then 0 else {forced} * 0.754::double * pow({re}, 0.6::double) end"
+    taken = f"(case when {t} < air then -1 else 1 end * greatest({natural}, {low}, {high}) + 17.8::double * {c.diameter}::double * 0.8::double * (pow(({t} + 273) / 100, 4) - pow((air + 273) / 100, 4)))"
+    ohm = f"({c.r25}::double + ({t} - 25) * case when {t} <= 100 then ({c.r75}::double - {c.r25}::double) / 50 else ({c.r200}::double - {c.r25}::double) / 175 end)"
+    return f"(op * op * {ohm} + 0.8::double * solar_l * {c.diameter}::double - {taken})"
+
+
+SAG_SQL = f"""{w.RATED}, {SAMPLES},
+towers as (select t.line_id, tower_id, lon, lat from (select distinct line_id, tower_id from clean) t left join places using (tower_id)),
+lengths as (
+    select tower_id, 2 * 6371008.8::double * asin(sqrt(least(1, pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2)))) as len
+    from (select *, case when lead(tower_id) over o is null then lag(lon) over o else lead(lon) over o end as lon2, case when lead(tower_id) over o is null then lag(lat) over o else lead(lat) over o end as lat2 from towers window o as (partition by line_id order by tower_id))
+),
+joined as materialized (
+    select s.sample_order, s.tower_id, s.sample_index, angle_deg, f.temp_l as air, f.wind_l, f.angle, f.el, f.solar_l, f.rating, f.amp as raw, own_amp, coalesce(own_amp, case when hour(s.timestamp) % 2 = 0 then f.rating * 0.7::double end) as op,
+        case when len > 0 then len else 300.0::double end as span, coalesce(len > 0, false) as measured_span
+    from samples s left join rated f on s.tower_id = f.tower_id and s.timestamp = f.timestamp left join lengths l on l.tower_id = s.tower_id
+),
+bounds as (select *, least(greatest(200.0::double, air + 1), 1004) as f0, 1004.0::double as f1 from joined where air is not null and op is not null),
+bisected(sample_order, lo, hi, k) as (
+    select sample_order, air, case when {_residual("f0")} <= 0 then f0 when {_residual("f1")} <= 0 then f1 end, 0 from bounds
+    union all
+    select sample_order, case when {_residual("mid")} > 0 then mid else lo end, case when {_residual("mid")} > 0 then hi else mid end, k + 1 from (select *, (lo + hi) / 2 as mid from bisected where k < 46) join joined using (sample_order)
+),
+solved as (select sample_order, (lo + hi) / 2 as t from bisected where k = 46 and hi is not null),
 prepared as (
-    select s.sample_order, s.tower_id, s.sample_index, angle_deg, {_WIRE["mass_per_length_kg_m"]}::double * {GRAVITY}::double * 300 / nullif(2 * tan(radians(angle_deg)), 0) as h, f.temp_l as air, f.rating, f.raw
-    from samples s left join full_rated f on s.tower_id = f.tower_id and s.timestamp = f.timestamp
+    select j.*, case when air is not null then coalesce(t, 20) end as tt, t, {_WIRE["mass_per_length_kg_m"]}::double * {GRAVITY}::double * span / nullif(2 * tan(radians(angle_deg)), 0) as h from joined j left join solved using (sample_order)
 ),
-inferred as (select *, 20 + (20000 - h) / (7e10 * {_WIRE["area_m2"]}::double * 1.9e-5) as tm, case when air is not null then 20.0::double end as tt from prepared),
-coded as (
-    select *, case when not coalesce(angle_deg between 0.05 and 89.5, false) then 'invalid_angle' when tt is null or air is null or rating is null then 'missing_snapshot'
-        when not coalesce(tm > -273.15 and tm <= 1000, false) then 'nonphysical_temperature' end as error_code from inferred
-)"""
+inferred as (select *, 20 + (20000 - h) / (7e10 * {_WIRE["area_m2"]}::double * 1.9e-5) as tm from prepared),
+coded as materialized (
+    select *, case when not coalesce(angle_deg between 0.05 and 89.5, false) then 'invalid_angle' when tt is null or air is null or rating is null or tm is null or isinf(tm) then 'calculation_failed:ValueError'
+        when not (tm > -273.15 and tm <= 1000 and tt > -273.15 and tt <= 1000 and air > -273.15 and air <= 1000) then 'nonphysical_temperature' end as error_code from inferred
+),
+ordered as materialized (select tower_id, sample_index as i, angle_deg, tm, tt, air, tm - tt as err, coalesce(wind_l, 0) as wind, span, rating as orig, raw as recalc, error_code as code from coded)"""
+
+#: The machine of a tower over ``ordered``, a row of each tower a step.
+MACHINE = """start as (select distinct tower_id from ordered),
+machine(tower_id, i, state, last, calm, angles, winds, errors, o_state, o_code, o_limit, o_factor, o_checked, o_final) as (
+    select tower_id, -1::bigint, 'NORMAL', null::double, 0::bigint, []::double[], []::double[], []::double[], null::varchar, null::varchar, null::double, null::double, null::double, null::double from start
+    union all
+    select tower_id, i, case when fail is null then new_state else state end, case when fail is null then final else last end, case when fail is null then case when back and not risk and state = 'RECOVERY' then 0 else count end else calm end,
+        case when fail is null then list_append(angles, angle_deg)[-12:] else angles end, case when fail is null then list_append(winds, wind)[-12:] else winds end, case when fail is null then list_append(errors, abs(err))[-12:] else errors end,
+        case when fail is null then new_state else 'INVALID' end, fail, case when fail is null then lim else 5 end, case when fail is null then factor else 1 end, case when fail is null then checked else coalesce(last, orig, 0) end, case when fail is null then final else coalesce(last, orig, 0) end
+    from (
+        select *, coalesce(code, case when risk and (tm <= air or tt < air) then 'derating_failed:ValueError' end) as fail, case when risk then least(orig, recalc, factor * orig) else orig end as checked,
+            case when risk then 'RISK' when state = 'RISK' then case when count >= 3 then 'RECOVERY' else 'RISK' end when state = 'RECOVERY' then case when back then 'NORMAL' else 'RECOVERY' end else 'NORMAL' end as new_state,
+            case when risk then least(orig, recalc, factor * orig) when state = 'RISK' then case when count >= 3 then toward else held end when state = 'RECOVERY' then case when back then orig when calm_now then toward else held end else orig end as final
+        from (
+            select *, calm_now and abs(orig - toward) < 1 as back, case when risk then 0 when state = 'RISK' then case when calm_now then calm + 1 else 0 end when state = 'RECOVERY' then calm else 0 end as count,
+                case when risk then sqrt(least(greatest((tt - air) / nullif(tm - air, 0), 0), 1)) else 1 end as factor
+            from (
+                select *, coalesce(tm > tt and err > lim, false) as risk, coalesce(err < lim * 0.6::double, false) as calm_now, 0.25::double * orig + 0.75::double * coalesce(last, orig) as toward, coalesce(last, orig) as held
+                from (
+                    select m.tower_id, o.i, m.state, m.last, m.calm, m.angles, m.winds, m.errors, o.angle_deg, o.tm, o.tt, o.air, o.err, o.wind, o.orig, o.recalc, o.code,
+                        5 + 2 * case when len(m.angles) = 0 then 0 else list_aggregate(list_append(m.angles, o.angle_deg), 'mad') end + 0.25::double * case when len(m.winds) = 0 then 0 else list_aggregate(list_append(m.winds, o.wind), 'mad') end
+                            + greatest(0, o.span / 300 - 1) + 0.25::double * case when len(m.errors) = 0 then 0 else list_aggregate(m.errors, 'median') end as lim
+                    from machine m join ordered o on o.tower_id = m.tower_id and o.i = m.i + 1
+                )
+            )
+        )
+    )
+), machined as (select * from machine where i >= 0)"""
+_STATES = f"""select tower_id, i as sample_index, o_state as state, o_code as error_code, {_r("o_limit", 4)} as threshold_c, {_r("o_factor", 4)} as derating_factor, {_r("o_checked", 4)} as checked_current_a, {_r("o_final", 4)} as final_current_a from machined"""
 
 _LOADED = ["dem_hash", "crs_hash", "coordinate_hash", "conductor_hash", "feature_version", "correction_config_hash", "training_contract_hash", "backend_id"]
 
@@ -367,13 +462,25 @@ SQL = {
         select tower_id, {_r("case when len > 0 then len else 300 end", 4)} as span_m, case when len > 0 then 'derived' else 'default' end as span_source,
             {_r(f"case when p_size % 3 = 0 then p_size else coalesce(mass, 1) * {GRAVITY}::double end")} as unit_weight_n_m, case when p_size % 3 = 0 then 'measured' when mass is not null then 'derived' else 'default' end as weight_source
         from s join m using (tower_id)""",
-    "sag_formulas": f"""with {SAG_SQL} select sample_order, tower_id, sample_index, {_r("h", 4)} as tension, {_r("tm", 5)} as measured_temp_c, {_r("rating", 4)} as original_current_a, {_r("raw", 4)} as recalculated_current_a,
+    "sag_formulas": f"""with recursive {SAG_SQL} select sample_order, tower_id, sample_index, {_r("h", 4)} as tension, {_r("tm", 5)} as measured_temp_c, {_r("rating", 4)} as original_current_a, {_r("raw", 4)} as recalculated_current_a,
         {_r("case when tm > air and tt >= air then sqrt(least(greatest((tt - air) / nullif(tm - air, 0), 0), 1)) end", 5)} as derating, error_code from coded""",
-    "sag_sources": f"""with {SAG_SQL}, x as (
-            select unnest([struct_pack(parameter := 'reference_tension_n', source := 'default'), struct_pack(parameter := 'reference_temp_c', source := 'default'), struct_pack(parameter := 'elastic_modulus_pa', source := 'default'),
-                struct_pack(parameter := 'thermal_expansion_per_c', source := 'default'), struct_pack(parameter := 'area_m2', source := 'measured'), struct_pack(parameter := 'theoretical_temp_c', source := case when tt is not null then 'derived' else 'default' end),
-                struct_pack(parameter := 'recalculated_current_a', source := case when raw is not null then 'derived' else 'default' end), struct_pack(parameter := 'original_current_a', source := case when rating is not null then 'measured' else 'default' end)]) as u from coded
-        ) select u.parameter as parameter, u.source as source, count(*) as rows from x group by 1, 2""",
+    "sag_temperature": f"""with recursive {SAG_SQL} select sample_order, tower_id, {_r("op", 4)} as operating_current_a, {_r("t", 4)} as theoretical_temp_c, t is not null as verified from coded where op is not null and air is not null""",
+    "sag_sources": f"""with recursive {SAG_SQL}, x as (
+            select unnest([{{'p': 'reference_tension_n', 's': 'default'}}, {{'p': 'reference_temp_c', 's': 'default'}}, {{'p': 'elastic_modulus_pa', 's': 'default'}}, {{'p': 'thermal_expansion_per_c', 's': 'default'}}, {{'p': 'area_m2', 's': 'measured'}},
+                {{'p': 'unit_weight_n_m', 's': 'derived'}}, {{'p': 'ambient_temp_c', 's': 'derived'}}, {{'p': 'original_current_a', 's': 'derived'}}, {{'p': 'recalculated_current_a', 's': 'derived'}}, {{'p': 'span_m', 's': case when measured_span then 'derived' else 'default' end}},
+                {{'p': 'theoretical_temp_c', 's': case when t is not null then 'derived' else 'default' end}}, {{'p': 'operating_current_a', 's': case when own_amp is not null then 'measured' when op is not null then 'derived' end}}]) as u from coded where air is not null
+        ) select u.p as parameter, u.s as source, count(*) as rows from x where u.s is not null group by 1, 2""",
+    "sag_states": f"with recursive {SAG_SQL}, {MACHINE} {_STATES}",
+    "sag_counts": f"with recursive {SAG_SQL}, {MACHINE} select o_state as state, coalesce(o_code, 'none') as error_code, count(*) as rows from machined group by 1, 2",
+    "sag_direct": f"""with recursive {SAMPLES}, given as (
+            select tower_id, sample_index, angle_deg, sample_order as k, 200.0::double + k % 300 as span, (8 + k % 5)::double as weight, (k % 30)::double as air, case when k % 47 = 0 then 2000 else 25 + k % 20 end::double as tt,
+                case when k % 53 = 0 then -1 else 800 + k % 100 end::double as orig, (700 + k % 150)::double as recalc, case when k % 7 <> 0 then (k % 11)::double else 0 end as wind, k % 41 <> 0 and k % 43 <> 0 and k % 53 <> 0 as whole from samples
+        ), inferred as (select *, 20 + (9000 - weight * span / nullif(2 * tan(radians(angle_deg)), 0)) / (7e10 * 6.75e-4 * 1.9e-5) as tm from given),
+        ordered as materialized (
+            select tower_id, sample_index as i, angle_deg, tm, tt, air, tm - tt as err, wind, span, case when orig >= 0 then orig end as orig, recalc, case when not coalesce(angle_deg between 0.05 and 89.5, false) then 'invalid_angle' when not whole or tm is null then 'calculation_failed:ValueError'
+                when not (tm > -273.15 and tm <= 1000 and tt <= 1000) then 'nonphysical_temperature' end as code from inferred
+        ), {MACHINE} {_STATES}""",
+    "sag_label": f"""with {SAMPLES} select case when count(distinct tower_id) = 0 then 'none' when count(distinct tower_id) = 1 then min(tower_id) else 'multiple' end as tower, count(distinct tower_id) as towers, count(*) as rows from samples""",
     "audit_summary": f"""with {w.RAW} select coalesce(stage, 'all') as stage, coalesce(reason, 'all') as fallback_reason, count(*) as events
         from (select source_file_hash as stage, coalesce(reasons[1], 'none') as reason from checked) group by cube (stage, reason)""",
 }

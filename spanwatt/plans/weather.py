@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanwatt.config import CLEAR_SKY, Conductor, Correction
@@ -36,8 +36,17 @@ def corrected(spark: SparkSession, sf: str, options: Correction = Correction(des
     return correction.correct(terrain.join_terrain(resampled(spark, sf), tower_terrain(spark, sf)), options)
 
 
-def rated(spark: SparkSession, sf: str) -> DataFrame:
-    return ratings.rate_steady(ratings.common_times(corrected(spark, sf), clean(spark, sf)), WIRE)
+def rated(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
+    """only: towers and times; nothing else is corrected and rated."""
+    if only is None:
+        return ratings.rate_steady(ratings.common_times(corrected(spark, sf), clean(spark, sf)), WIRE)
+    grid = ratings.common_times(resampled(spark, sf), clean(spark, sf))
+    place = F.row_number().over(Window.partitionBy("tower_id").orderBy("timestamp")) - 1
+    grid = ratings.first_elevation(grid).withColumn("position", place).join(only, ["tower_id", "timestamp"], "left_semi")
+    df = correction.correct(terrain.join_terrain(grid, tower_terrain(spark, sf)), Correction(desert=True, ground_temp_offset=5.0))
+    # a tower's terrain has one elevation; the weather's counts where it has none
+    df = df.withColumn("rated_elevation", F.when(F.col("terrain_source") == "weather", F.col("rated_elevation")).otherwise(F.col("elevation")))
+    return ratings.rate_steady(df, WIRE)
 
 
 # ------------------------------------------------------------------ queries
