@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, weather
+from . import checks, files, weather
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for part in (weather, checks):
+for part in (weather, checks, files):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanwatt.functions.parsing import instant, number, tower_id
 
-from .weather import clean_header, read_csv
+from .weather import Layout, clean_header, read_rows, usable
 
 # Header marks of the tables.
 PLACE_HEADERS = {"label": ("运行编号", "设备名称"), "lon": ("经度", "X坐标"), "lat": ("纬度", "Y坐标")}
-INCLINATION_HEADERS = {"angle_deg": ("angle_deg", "inclination_angle", "inclination", "倾角"), "tower_id": ("tower_id", "tower", "杆塔"), "timestamp": ("timestamp", "time", "时间")}
+INCLINATION = Layout("inclination", (("angle_deg", ("angle_deg", "inclination_angle", "inclination", "倾角")), ("tower_id", ("tower_id", "tower", "杆塔")), ("timestamp", ("timestamp", "time", "时间"))), ("angle_deg",))
 HEADER_ROWS = 20
 
 
@@ -38,17 +40,12 @@ def read_inclination(spark: SparkSession, paths: list[str], tower: str | None =
     Without a time column the times are the snapshot's, if it has as many rows (axis: one
     column timestamp), else only the index counts.
     """
-    made = []
-    for df in read_csv(spark, paths):
-        at = {k: _pick(df.columns, m) for k, m in INCLINATION_HEADERS.items()}
-        if at["angle_deg"] is None or (at["tower_id"] is None and tower is None):
-            raise ValueError(f"no angle or tower among {df.columns}")
-        who = tower_id(F.col(f"`{at['tower_id']}`")) if at["tower_id"] else F.lit(tower)
-        when = instant(F.col(f"`{at['timestamp']}`")) if at["timestamp"] else F.lit(None).cast("timestamp_ntz")
-        made.append(df.select(who.alias("tower_id"), when.alias("timestamp"), number(F.col(f"`{at['angle_deg']}`")).alias("angle_deg"), F.monotonically_increasing_id().alias("_o")))
-    df = made[0]
-    for other in made[1:]:
-        df = df.unionByName(other)
+    kind = INCLINATION if tower is not None else replace(INCLINATION, must=("tower_id",))
+    files = usable(spark, paths, (kind,))
+    order = spark.createDataFrame([(r.path, k) for k, r in enumerate(files)], "path string, _f long")
+    rows = read_rows(spark, paths, (kind,)).join(order, "path")
+    who = F.when(F.array_contains("has", "tower_id"), tower_id(F.col("tower_id"))).otherwise(F.lit(tower))
+    df = rows.select(who.alias("tower_id"), instant(F.col("timestamp")).alias("timestamp"), number(F.col("angle_deg")).alias("angle_deg"), F.struct("_f", "row_order").alias("_o"))
     df = df.withColumn("sample_index", (F.row_number().over(Window.partitionBy("tower_id").orderBy("_o")) - 1).cast("long")).drop("_o")
     df = df.withColumn("timestamp_source", F.when(F.col("timestamp").isNotNull(), "measured").otherwise("sequence"))
     if axis is not None:

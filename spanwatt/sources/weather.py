@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import codecs
+import csv
+import io
 import logging
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from spanwatt.functions.parsing import date_and_time, instant, number, tower_id, tower_number
@@ -28,107 +31,166 @@ def clean_header(name: str) -> str:
     return name.strip()
 
 
-def file_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, name, sha256 of each file's bytes."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+@dataclass(frozen=True)
+class Layout:
+    """How a kind of file is told by its headers: names with the marks that a header may bear, and
+    the names that must be there (``needs``: to be of this layout; ``must``: to be usable)."""
 
+    name: str
+    headers: tuple[tuple[str, tuple[str, ...]], ...]
+    needs: tuple[str, ...]
+    must: tuple[str, ...] = ()
 
-def encodings(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, encoding: the first that decodes the whole file strictly, else null."""
+    def places(self, header: list[str]) -> dict[str, int]:
+        """The column of each name: the first mark that some header bears, the first such header."""
+        found = {}
+        for name, marks in self.headers:
+            at = next((k for m in marks for k, h in enumerate(header) if m in h), None)
+            if at is not None:
+                found[name] = at
+        return found
 
-    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for content in batch.column(1).to_pylist():
-                found.append(next((e for e in ENCODINGS if _decodes(content, e)), None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["path", "encoding"])
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(detect, "path string, encoding string")
+WEATHER = (
+    Layout("tower", tuple((n, (m,)) for n, m in TOWER_HEADERS), ("time_str", "tower", "wind_speed"), MANDATORY),
+    Layout("legacy", tuple((n, (m,)) for n, m in LEGACY_HEADERS), ("position",), ("date", "time_str", *MANDATORY)),
+)
 
 
-def _decodes(content: bytes, encoding: str) -> bool:
-    try:
-        codecs.decode(content, encoding)
-        return True
-    except UnicodeDecodeError:
-        return False
+def names_of(layouts: tuple[Layout, ...]) -> list[str]:
+    return list(dict.fromkeys(n for x in layouts for n, _ in x.headers))
+
+
+def decoded(content: bytes) -> tuple[str | None, str]:
+    """The first encoding that decodes all bytes strictly, and the text; else None."""
+    for encoding in ENCODINGS:
+        try:
+            return encoding, content.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return None, ""
+
+
+def _opened(content: bytes, layouts: tuple[Layout, ...]) -> tuple[str | None, Layout | None, dict[str, int], Iterator[list[str]]]:
+    """Encoding, layout, columns by name, and the rows below the header."""
+    encoding, text = decoded(content)
+    lines = csv.reader(io.StringIO(text, newline=""))
+    header = [clean_header(c) for c in next(lines, [])]
+    layout = next((x for x in layouts if set(x.needs) <= set(x.places(header))), None)
+    return encoding, layout, layout.places(header) if layout else {}, lines
+
+
+def _binary(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, content, sha256 of all files at the paths, in folders too.  Spark reads them, wherever
+    its file systems reach, and deals the files to tasks by their size; a file is one row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return files.select("path", "content", F.sha2("content", 256).alias("source_file_hash"))
 
 
-def read_csv(spark: SparkSession, paths: list[str], skip_bad: bool = False) -> list[DataFrame]:
-    """All-text frames with a column path, one for each encoding and header found.
+def file_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, name, sha256 of each file's bytes."""
+    return _binary(spark, paths).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("source_file_hash").alias("sha256"))
+
 
-    Files of another ending, or of no known encoding, are refused, or with ``skip_bad`` left
-    out with a warning as long as one is left.  Spark reads the rows; only the list of files
-    (path, encoding, first line) comes to the driver.
+def inspect(spark: SparkSession, paths: list[str], layouts: tuple[Layout, ...] = WEATHER) -> DataFrame:
+    """path, source_file_hash, encoding, layout, missing, problem (null: readable) of every file.
+
+    A file of another ending isn't looked into; one that no encoding decodes, of no known layout or without
+    a mandatory column has a problem.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark reads no charset but the UTFs and Latin 1
-    bad = [p for p in paths if not p.lower().endswith(".csv")]
-    if bad and not skip_bad:
-        raise ValueError(f"not CSV files: {bad}")
-    groups: dict[tuple[str, str], list[str]] = {}
-    for row in encodings(spark, [p for p in paths if p not in bad]).collect():
-        if row.encoding is None:
-            bad.append(row.path)
-            continue
-        charset = "UTF-8" if row.encoding.startswith("utf") else row.encoding
-        first = spark.read.option("encoding", charset).text(row.path).first()
-        groups.setdefault((charset, first[0] if first else ""), []).append(row.path)
-    if bad and not skip_bad or not groups:
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not path.lower().endswith(".csv"):
+                    out.append((None, None, None, "not a CSV file"))
+                    continue
+                encoding, layout, places, _ = _opened(content, layouts)
+                missing = [c for c in layout.must if c not in places] if layout else None
+                problem = "no known encoding" if encoding is None else "no known layout" if layout is None else f"missing columns {missing}" if missing else None
+                out.append((encoding, layout and layout.name, missing, problem))
+            kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["path", "source_file_hash", "encoding", "layout", "missing", "problem"])
+
+    return _binary(spark, paths).mapInArrow(look, "path string, source_file_hash string, encoding string, layout string, missing array<string>, problem string")
+
+
+def read_rows(spark: SparkSession, paths: list[str], layouts: tuple[Layout, ...] = WEATHER) -> DataFrame:
+    """path, source_file_hash, layout, row_order and a text column for every name of the layouts: all
+    rows of all usable files, in one pass over their bytes.  A name that a file lacks is null in its rows, and
+    ``has`` lists those that it has."""
+    names = names_of(layouts)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content, print_ in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                encoding, layout, places, lines = _opened(content, layouts) if path.lower().endswith(".csv") else (None, None, {}, iter(()))
+                if encoding is None or layout is None or any(c not in places for c in layout.must):
+                    continue
+                first, has = 0, list(places)
+                while rows := list(islice(lines, 10_000)):
+                    rows, n = [r for r in rows if r], len(rows)
+                    cell = lambda k: [r[k] if k < len(r) and r[k] != "" else None for r in rows]  # noqa: B023, E731
+                    columns = [pa.array(cell(places[c]) if c in places else [None] * len(rows), pa.string()) for c in names]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([print_] * len(rows)), pa.array([layout.name] * len(rows)), pa.array([has] * len(rows), pa.list_(pa.string())), pa.array(range(first, first + len(rows)), pa.int64()), *columns], names=["path", "source_file_hash", "layout", "has", "row_order", *names])
+                    first += n
+
+    schema = "path string, source_file_hash string, layout string, has array<string>, row_order long, " + ", ".join(f"`{n}` string" for n in names)
+    return _binary(spark, paths).mapInArrow(parse, schema)
+
+
+def usable(spark: SparkSession, paths: list[str], layouts: tuple[Layout, ...], skip_bad: bool = False) -> list[Row]:
+    """The readable files in the order of ``paths``, files of a folder by name.  One job looks into all files;
+    an empty file counts only where it is named itself.
+
+    Other files are refused, or with ``skip_bad`` left out with a warning as long as one is left.  Only
+    the list of files comes to the driver.
+    """
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    given = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    given = [p.getFileSystem(hadoop).makeQualified(p).toString() for p in given]
+    place = lambda path: next((k for k, p in enumerate(given) if path == p or path.startswith(p.rstrip("/") + "/")), len(given))
+    found = sorted(inspect(spark, paths, layouts).collect(), key=lambda r: (place(r.path), r.path))
+    bad = {r.path: r.problem for r in found if r.problem}
+    seen = {place(r.path) for r in found}  # Spark lists no file without a byte
+    bad |= {p: "empty" for k, p in enumerate(given) if k not in seen}
+    good = [r for r in found if not r.problem]
+    if bad and not skip_bad or not good:
         raise ValueError(f"unreadable files: {bad}")
     if bad:
         logging.getLogger(__name__).warning("left out unreadable files: %s", bad)
-    made = []
-    for (charset, _), files in groups.items():
-        df = spark.read.option("header", True).option("encoding", charset).csv(files)
-        made.append(df.select(*[F.col(f"`{c}`").alias(clean_header(c)) for c in df.columns], F.col("_metadata.file_path").alias("path")))
-    return made
-
-
-def _found(columns: list[str], headers: tuple[tuple[str, str], ...]) -> dict[str, str]:
-    return {name: next(c for c in columns if mark in c) for name, mark in headers if any(mark in c for c in columns)}
+    return good
 
 
-def canonical(df: DataFrame, role: str) -> DataFrame:
-    """A file's frame in the canonical columns; which layout it has shows in its headers.
+def canonical(rows: DataFrame, role: str) -> DataFrame:
+    """Rows of ``read_rows`` in the canonical columns.
 
-    Text that is no number is missing.  Radiation, elevation and humidity may be absent; a
-    mandatory column must not be.  Times are read in the project's zone and kept in UTC.
+    Text that is no number is missing.  Radiation, elevation and humidity may be absent.  Times are read in the
+    project's zone and kept in UTC.
     """
-    towers = _found(df.columns, TOWER_HEADERS)
-    if {"time_str", "tower", "wind_speed"} <= set(towers):
-        names, tower, time = towers, tower_id(F.col(f"`{towers['tower']}`")), instant(F.col(f"`{towers['time_str']}`"))
-    else:
-        names = _found(df.columns, LEGACY_HEADERS)
-        if "position" not in names:
-            raise ValueError(f"no tower column among {df.columns}")
-        place = lambda c: F.col(f"`{names[c]}`")
-        wall = date_and_time(place("date"), place("time_str"))
-        tower, time = tower_number(place("position")).cast("string"), instant(wall.cast("string"))
-    missing = [c for c in MANDATORY if c not in names]
-    if missing:
-        raise ValueError(f"missing columns {missing} among {df.columns}")
-    values: list[Column] = [(number(F.col(f"`{names[c]}`")) if c in names else F.lit(None).cast("double")).alias(c) for c in MEASURES if c in names or c not in ("longitude", "latitude")]
-    return df.select(tower.alias("tower_id"), time.alias("timestamp"), *values, F.lit(role).alias("dataset_role"), "path", F.monotonically_increasing_id().alias("row_order"))
+    tower = F.col("layout") == "tower"
+    wall = date_and_time(F.col("date"), F.col("time_str"))
+    who = F.when(tower, tower_id(F.col("tower"))).otherwise(tower_number(F.col("position")).cast("string"))
+    when = F.when(tower, instant(F.col("time_str"))).otherwise(instant(wall.cast("string")))
+    return rows.select(who.alias("tower_id"), when.alias("timestamp"), *[number(F.col(c)).alias(c) for c in MEASURES], F.lit(role).alias("dataset_role"), "path", "source_file_hash", "row_order", "has")
 
 
 def ingest(spark: SparkSession, paths: list[str], role: str, skip_bad: bool = False) -> tuple[DataFrame, DataFrame]:
     """Weather out of many files, and the report by file and in total.
 
-    Of rows that share tower and time the first in file order, then row order, stays.
+    Files are told by their full paths, so that two of one name are two.  Of rows that share tower and time
+    the first in file order, then row order, stays.  Only files with places are tested for places.
     """
-    # each layout is validated by itself: only files with places are tested for places
-    frames = [quality.validated(canonical(df, role)) for df in read_csv(spark, paths, skip_bad)]
-    df = frames[0]
-    for other in frames[1:]:
-        df = df.unionByName(other, allowMissingColumns=True)
-    prints = file_fingerprints(spark, paths).select("path", F.col("sha256").alias("source_file_hash"))
-    order = F.create_map(*[F.lit(x) for k, p in enumerate(paths) for x in (p.rsplit("/", 1)[-1], k)])
-    tail = lambda c: F.element_at(F.split(c, "/"), -1)
-    df = df.withColumn("name", tail("path")).join(prints.select(tail("path").alias("name"), "source_file_hash"), "name")
-    df = df.withColumn("file_order", F.try_element_at(order, F.url_decode("name"))).drop("path")
-    report = quality.merged_report(df, ["file_order", "row_order"])
-    return quality.clean_weather(df, ["file_order", "row_order"]), report
+    files = usable(spark, paths, WEATHER, skip_bad)
+    order = spark.createDataFrame([(r.path, k) for k, r in enumerate(files)], "path string, file_order long")
+    df = quality.validated(canonical(read_rows(spark, paths), role))
+    placed = F.array_contains("has", "longitude") & F.array_contains("has", "latitude")
+    reasons = F.when(placed, F.col("reasons")).otherwise(F.array_except("reasons", F.array(F.lit("longitude_not_finite"), F.lit("latitude_not_finite"))))
+    df = df.withColumn("reasons", reasons).drop("has").join(order, "path")
+    keys = ["file_order", "row_order"]
+    return quality.clean_weather(df, keys), quality.merged_report(df, keys)
 
 
 def ingest_truth(spark: SparkSession, paths: list[str], enabled: bool = True) -> DataFrame | None:
