@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chains import fold, let
 from .features import KEYS
 
 #: Fixed order of the checks of a stored model.
@@ -19,43 +22,83 @@ def admission(df: DataFrame) -> DataFrame:
     return df.withColumn("admission_reason", reason.when(~(F.col("corrected_mae") < F.col("baseline_mae")), "candidate_not_better_than_physical"))
 
 
-def decide(candidates: DataFrame, heads: DataFrame, least: float = 0.0) -> DataFrame:
-    """promote and reason for every candidate, held against its key's champion.
+#: What is held against each other of a candidate and of its key's champion.
+COMPARED = ("model_version", "evaluation", "evaluation_set_hash", "training_contract_hash", "baseline_mae", "corrected_mae")
 
-    Both sides hold KEYS, model_version, evaluation, evaluation_set_hash, training_contract_hash,
-    baseline_mae, corrected_mae; candidates expected_version too.
-    """
-    h = heads.select(*KEYS, *[F.col(c).alias("head_" + c) for c in ("model_version", "evaluation", "evaluation_set_hash", "training_contract_hash", "baseline_mae", "corrected_mae")])
-    df = admission(candidates).join(h, list(KEYS), "left")
-    c = F.col
+
+def _reason(c: Callable[[str], Column], h: Callable[[str], Column], least: float) -> Column:
+    """Why the candidate with the columns c is promoted over the champion with the columns h, or why not."""
     gain_physical = c("baseline_mae") - c("corrected_mae")
-    gain_head = c("head_corrected_mae") - c("corrected_mae")
-    provisional = c("head_evaluation") == "full_fit"
-    conflict = c("expected_version").isNotNull() & (c("expected_version") != c("head_model_version"))
-    contract = c("training_contract_hash") != c("head_training_contract_hash")
-    reason = (
+    gain_head = h("corrected_mae") - c("corrected_mae")
+    provisional = h("evaluation") == "full_fit"
+    conflict = c("expected_version").isNotNull() & (c("expected_version") != h("model_version"))
+    contract = c("training_contract_hash") != h("training_contract_hash")
+    return (
         F.when(c("admission_reason").isNotNull(), c("admission_reason"))
-        .when(c("head_model_version").isNull(), F.when(c("evaluation") == "full_fit", "promoted_provisional").otherwise("promoted"))
+        .when(h("model_version").isNull(), F.when(c("evaluation") == "full_fit", "promoted_provisional").otherwise("promoted"))
         .when((c("evaluation") == "full_fit"), "full_fit_cannot_replace_champion")
         .when(provisional & conflict, "model_version_conflict")
         .when(provisional & (gain_physical <= least + 1e-12), "insufficient_mae_improvement")
         .when(provisional, "promoted_from_provisional")
-        .when(c("head_evaluation_set_hash").isNull(), "champion_has_no_independent_evaluation")
-        .when(c("evaluation_set_hash") != c("head_evaluation_set_hash"), "evaluation_set_mismatch")
+        .when(h("evaluation_set_hash").isNull(), "champion_has_no_independent_evaluation")
+        .when(c("evaluation_set_hash") != h("evaluation_set_hash"), "evaluation_set_mismatch")
         .when(contract & (gain_head < -1e-12), "insufficient_mae_improvement")
         .when(contract, "promoted_contract_refresh")
         .when(conflict, "model_version_conflict")
         .when(gain_head <= least + 1e-12, "insufficient_mae_improvement")
         .otherwise("promoted")
     )
-    return df.withColumn("reason", reason).withColumn("promote", F.col("reason").startswith("promoted"))
+
+
+def decide(candidates: DataFrame, heads: DataFrame, least: float = 0.0) -> DataFrame:
+    """promote and reason for every candidate, held against its key's champion.
+
+    Both sides hold KEYS, model_version, evaluation, evaluation_set_hash, training_contract_hash,
+    baseline_mae, corrected_mae; candidates expected_version too.  Candidates of one key are each held against
+    the same champion; ``promote`` takes them one after the other.
+    """
+    h = heads.select(*KEYS, *[F.col(c).alias("head_" + c) for c in COMPARED])
+    df = admission(candidates).join(h, list(KEYS), "left")
+    return df.withColumn("reason", _reason(F.col, lambda x: F.col("head_" + x), least)).withColumn("promote", F.col("reason").startswith("promoted"))
+
+
+def promote(candidates: DataFrame, heads: DataFrame | None = None, least: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """All candidates, each held against the champion that the ones before it left: (decisions, heads).
+
+    candidates: KEYS, generation_id, created_at and what ``decide`` asks for; those of a key come in the order of
+    created_at and generation_id.  heads: KEYS, generation_id, previous_id, revision and COMPARED.  A promotion
+    raises the revision by one; of a key's generations the active one and the one before it are kept (previous_id).
+    Decisions name the champion that a candidate met (champion_id) and the revision after it.
+    """
+    c = admission(candidates).select(*KEYS, "created_at", "generation_id", *COMPARED, "expected_version", "admission_reason")
+    kinds = dict(c.dtypes)
+    fields = ", ".join(f"{x}: {kinds[x]}" for x in COMPARED)
+    memory = f"struct<generation_id: {kinds['generation_id']}, previous_id: {kinds['generation_id']}, revision: bigint, {fields}>"
+    names = ["generation_id", "previous_id", "revision", *COMPARED]
+    empty = F.struct(*[F.lit(0).cast("bigint").alias(x) if x == "revision" else F.lit(None).cast(kinds["generation_id" if x == "previous_id" else x]).alias(x) for x in names])
+
+    def step(m: Column, row: Column) -> Column:
+        def judged(x: Column) -> Column:
+            m, row, reason = x["m"], x["row"], x["reason"]
+            after = F.struct(row["generation_id"].alias("generation_id"), m["generation_id"].alias("previous_id"), (m["revision"] + 1).alias("revision"), *[row[k].alias(k) for k in COMPARED])
+            made = F.struct(row["created_at"].alias("created_at"), row["generation_id"].alias("generation_id"), reason.startswith("promoted").alias("promote"), reason.alias("reason"), m["generation_id"].alias("champion_id"), F.when(reason.startswith("promoted"), m["revision"] + 1).otherwise(m["revision"]).alias("revision"))
+            return F.struct(F.when(reason.startswith("promoted"), after).otherwise(m).alias("memory"), made.alias("made"))
+
+        return let(F.struct(m.alias("m"), row.alias("row"), _reason(lambda k: row[k], lambda k: m[k], least).alias("reason")), judged)
+
+    start = None if heads is None else heads.select(*KEYS, F.struct(*[F.col(x).cast("bigint" if x == "revision" else kinds["generation_id" if x == "previous_id" else x]).alias(x) for x in names]).cast(memory).alias("memory"))
+    made = f"struct<created_at: {kinds['created_at']}, generation_id: {kinds['generation_id']}, promote: boolean, reason: string, champion_id: {kinds['generation_id']}, revision: bigint>"
+    decisions, final = fold(c, list(KEYS), ["created_at", "generation_id"], start, empty.cast(memory), step, made)
+    return decisions, final.select(*KEYS, "memory.*").where("generation_id is not null")
 
 
 def apply_promotions(heads: DataFrame, decided: DataFrame) -> DataFrame:
     """Heads after the promotions: revision + 1 where the head still is the expected
     generation, unchanged elsewhere.  heads: KEYS, generation_id, revision; decided: KEYS,
-    promote, generation_id, expected_generation."""
-    new = decided.where("promote").select(*KEYS, F.col("generation_id").alias("new_id"), "expected_generation")
+    promote, generation_id, expected_generation.  A key has one promoted candidate at most; a second
+    one fails the job, as only ``promote`` can tell which of them meets the other."""
+    new = decided.where("promote").withColumn("_n", F.count("*").over(Window.partitionBy(*KEYS)))
+    new = new.where(F.when(F.col("_n") > 1, F.raise_error("a key has two promoted candidates").cast("boolean")).otherwise(True)).select(*KEYS, F.col("generation_id").alias("new_id"), "expected_generation")
     both = heads.join(new, list(KEYS), "full_outer")
     swap = F.col("new_id").isNotNull() & F.col("expected_generation").eqNullSafe(F.col("generation_id"))
     return both.select(*KEYS, F.when(swap, F.col("new_id")).otherwise(F.col("generation_id")).alias("generation_id"), F.when(swap, F.coalesce("revision", F.lit(0)) + 1).otherwise(F.col("revision")).cast("long").alias("revision")).where("generation_id is not null")

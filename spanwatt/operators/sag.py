@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -13,8 +12,8 @@ from pyspark.sql import functions as F
 
 from spanwatt.config import EARTH_RADIUS_M, GRAVITY, SAG, Conductor
 from spanwatt.functions import physics
-from spanwatt.storage import written
 
+from .chains import ROWS, fold, let
 from .quality import require_unique
 
 #: Columns that may hold the current that a line carried, the first one counts.
@@ -193,11 +192,6 @@ def solved_temperature(conductor: Conductor, current: Column) -> Column:
     return F.when((current >= 0.0) & (F.col("ambient_temp_c") < HOTTEST_C), let(first, solved))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 #: Parameters that a row of direct mode must have.
 DIRECT_POSITIVE = ("span_m", "unit_weight_n_m", "reference_tension_n", "elastic_modulus_pa", "area_m2", "thermal_expansion_per_c")
 DIRECT_FINITE = ("reference_temp_c", "ambient_temp_c", "theoretical_temp_c")
@@ -321,10 +315,10 @@ def limit_of(memory: Column, row: Column) -> Column:
     return SAG["base_threshold_c"] + unrest + F.greatest(F.lit(0.0), row["span_m"] / SAG["span_m"] - 1.0) + 0.25 * past
 
 
-def _next(acc: Column, row: Column) -> Column:
-    """``step`` as a column: (memory, results so far) after one more row."""
-    m = acc["memory"]
-    return let(F.struct(m.alias("m"), row.alias("row"), acc["out"].alias("out"), F.when(row["error_code"].isNull(), limit_of(m, row)).otherwise(SAG["base_threshold_c"]).alias("limit")), _judged)
+def _next(memory: Column, row: Column) -> Column:
+    """``step`` as a column: a tower's memory after one more row, and what the row gives."""
+    limit = F.when(row["error_code"].isNull(), limit_of(memory, row)).otherwise(SAG["base_threshold_c"])
+    return let(F.struct(memory.alias("m"), row.alias("row"), limit.alias("limit")), _judged)
 
 
 def _judged(x: Column) -> Column:
@@ -345,7 +339,7 @@ def _judged(x: Column) -> Column:
     final = F.when(risk, checked).when(at_risk, F.when(enough, toward).otherwise(held)).when(healing, F.when(back, original).when(calm, toward).otherwise(held)).otherwise(original)
     code = F.coalesce(row["error_code"], F.when(risk & ((room <= 0.0) | (share < 0.0)), "derating_failed:ValueError"), F.when(~(finite(factor) & finite(checked) & finite(final)), "non_finite_output"))
     count = F.when(healing & back & ~risk, 0).otherwise(count)
-    seen = F.struct(m.alias("m"), row.alias("row"), x["out"].alias("out"), limit.alias("limit"), code.alias("code"), state.alias("state"), final.alias("final"), factor.alias("factor"), checked.alias("checked"), count.cast("int").alias("count"))
+    seen = F.struct(m.alias("m"), row.alias("row"), limit.alias("limit"), code.alias("code"), state.alias("state"), final.alias("final"), factor.alias("factor"), checked.alias("checked"), count.cast("int").alias("count"))
     return let(seen, _remembered)
 
 
@@ -358,35 +352,20 @@ def _remembered(x: Column) -> Column:
     held = F.coalesce(m["last"], given)
     pick = lambda good, bad: F.when(ok, good).otherwise(bad)
     made = F.struct(row["i"].alias("i"), pick(x["state"], F.lit("INVALID")).alias("state"), code.alias("error_code"), pick(x["limit"], F.lit(SAG["base_threshold_c"])).alias("threshold_c"), pick(x["factor"], F.lit(1.0)).alias("derating_factor"), pick(x["checked"], held).alias("checked_current_a"), pick(x["final"], held).alias("final_current_a"))
-    return F.struct(pick(after, m).alias("memory"), F.concat(x["out"], F.array(made)).alias("out"))
-
-
-#: Samples of a tower that one fold takes; a tower's next ones wait for a round of their own.
-SAMPLES = 512
+    return F.struct(pick(after, m).alias("memory"), made.alias("made"))
 
 
-def validate(prepared: DataFrame, order: str = "sample_index", samples: int = SAMPLES) -> DataFrame:
+def validate(prepared: DataFrame, order: str = "sample_index", samples: int = ROWS) -> DataFrame:
     """The state machine of every tower, in input order.
 
-    Which samples count for a threshold depends on the thresholds before, so a tower's samples are a chain: they are
-    folded, in Spark's engine, in runs of at most ``samples`` that hold no more than that many rows.  The first runs of
-    all towers are folded side by side, then the second ones with the memories that the first ones left, and so on;
-    what is folded and the memories are written tables.
+    Which samples count for a threshold depends on the thresholds before, so a tower's samples are a chain: see
+    ``chains.fold``, which takes ``samples`` of a tower at once.
     """
     rows = prepared.select("tower_id", F.col(order).alias("i"), *[F.coalesce(c, F.lit(0.0)).alias(c) if c == "wind_speed" else F.col(c) for c in INPUTS])
-    place = F.row_number().over(Window.partitionBy("tower_id").orderBy("i")) - 1
-    runs = written(rows.withColumn("run", F.floor(place / samples)).groupBy("tower_id", "run").agg(F.array_sort(F.collect_list(F.struct("i", *INPUTS))).alias("rows")))
     fresh = F.from_json(F.lit('{"state": "NORMAL", "calm": 0, "angles": [], "winds": [], "errors": []}'), MEMORY)
-    outs = f"array<struct<i: {dict(rows.dtypes)['i']}, " + ", ".join(": ".join(c.split(" ")) for c in STEP_COLUMNS.split(", ")) + ">>"
-    made, memories = [], None
-    for k in range((runs.agg(F.max("run")).first()[0] or 0) + 1):
-        now = runs.where(F.col("run") == k)
-        now = now.withColumn("memory", fresh) if memories is None else now.join(memories, "tower_id")
-        now = now.select("tower_id", F.aggregate("rows", F.struct(F.col("memory").alias("memory"), F.array().cast(outs).alias("out")), _next).alias("x"))
-        now = written(now)
-        memories = now.select("tower_id", "x.memory")
-        made.append(now.select("tower_id", F.explode("x.out").alias("r")).select("tower_id", F.col("r.i").alias(order), "r.*").drop("i"))
-    return reduce(DataFrame.unionAll, made)
+    made = f"struct<i: {dict(rows.dtypes)['i']}, " + ", ".join(": ".join(c.split(" ")) for c in STEP_COLUMNS.split(", ")) + ">"
+    states, _ = fold(rows, ["tower_id"], ["i"], None, fresh, _next, made, samples)
+    return states.withColumnRenamed("i", order)
 
 
 def summary(states: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanwatt.config import CONDUCTORS, GRAVITY, SAG
@@ -138,13 +140,51 @@ def model_load_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_identity(spark: SparkSession, sf: str) -> DataFrame:
-    made = identity.line_identity(w.clean(spark, sf), w.tower_places(spark, sf).where("lon > 100.03"))
-    return made.select("line_id", "towers", "persistent", "reason", F.length("identity").alias("identity_length"))
+    """Lines by their places; the fixture leaves out the places at the western edge, so that some lines lack one."""
+    return identity.line_identity(w.clean(spark, sf), w.tower_places(spark, sf).where("lon > 100.03"))
+
+
+def _fixed(c: str) -> Column:
+    """A double as a decimal, whose text is the same everywhere."""
+    return r6(c).cast("decimal(18,6)").alias(c)
 
 
 def input_hash(spark: SparkSession, sf: str) -> DataFrame:
-    df = w.rated(spark, sf)
-    return identity.content_hash(df, ["timestamp", "ambient_temp_local", "wind_speed_local", "wind_angle_deg", "solar_radiation_local", "rated_elevation"], ["tower_id"], ["line_id"])
+    """Of every line's rating inputs, with a transient window over the second and third hour.  Between opposite
+    winds there is no direction, so no rating; such rows are left out."""
+    df = w.rated(spark, sf).where("wind_angle_deg is not null").select("line_id", "tower_id", "timestamp", "wind_angle_deg", *[F.col(a).alias(b) for a, b in (("ambient_temp_local", "ambient_temp"), ("wind_speed_local", "wind_speed"), ("solar_radiation_local", "solar_radiation"), ("rated_elevation", "elevation"))])
+    return identity.rating_input_hash(df.select("line_id", "tower_id", "timestamp", *[_fixed(c) for c in identity.INPUTS]), WIRE, (1.0, 3.0))
+
+
+def training_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the matched residual rows of every line and target."""
+    rows = features.residuals(aligned(spark, sf)).select("line_id", "tower_id", "target", "timestamp", "source_file_hash", _fixed("physical"), _fixed("truth"))
+    return identity.training_hash(rows, ["tower_id", "timestamp", "source_file_hash", "physical", "truth"], ["line_id", "target"], "all")
+
+
+def inclination_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every line's inclination readings in their order; a fixture: clicks and views."""
+    place = F.row_number().over(Window.partitionBy("line_id").orderBy("sample_order")) - 1
+    rows = view(spark, sf, "inclination_raw").withColumn("sample_index", place.cast("long")).withColumn("angle_deg", _fixed("angle_deg"))
+    return identity.ordered_hash(rows, ["tower_id", "timestamp", "angle_deg"], "sample_index", ["line_id"])
+
+
+def chained(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates out of part, fifty and more for a key at a time, against heads of some keys."""
+    k = F.col("created_at")
+    c = candidates(spark, sf).withColumns({"tower_id": F.lpad((k % 8).cast("string"), 3, "0"), "generation_id": F.concat(F.lit("g"), k.cast("string"))})
+    h = c.where("created_at < 40 and created_at % 3 = 0").groupBy(*features.KEYS).agg(F.max_by(F.struct("generation_id", *registry.COMPARED), "created_at").alias("h"))
+    h = h.select(*features.KEYS, "h.*", F.lit(None).cast("string").alias("previous_id"), F.lit(3).cast("long").alias("revision"))
+    return registry.promote(c.where("created_at >= 40"), h)
+
+
+def promotion_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return chained(spark, sf)[0]
+
+
+def promotion_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """The champion of every key after all candidates, and the generation that is kept beside it."""
+    return chained(spark, sf)[1].select(*features.KEYS, "generation_id", "previous_id", "revision")
 
 
 def dataset_overlap(spark: SparkSession, sf: str) -> DataFrame:
@@ -266,7 +306,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         asof_alignment, alignment_report, height_normalised, weather_metrics, segments_lag, weather_features, holdout_split, residual_bounds, residual_models, predictions,
-        admission, promotion_decisions, promoted_heads, rejected_attempts, model_load_status, line_identity, input_hash, dataset_overlap, span_and_weight, sag_formulas,
+        admission, promotion_decisions, promoted_heads, rejected_attempts, model_load_status, line_identity, input_hash, training_hash, inclination_hash, promotion_chain, promotion_heads, dataset_overlap, span_and_weight, sag_formulas,
         sag_sources, sag_states, sag_counts, sag_temperature, sag_direct, sag_label, steady_temperature, transient_profile, time_to_max, window_rating, audit_summary,
     )
 }
@@ -413,6 +453,52 @@ machine(tower_id, i, state, last, calm, angles, winds, errors, o_state, o_code,
 ), machined as (select * from machine where i >= 0)"""
 _STATES = f"""select tower_id, i as sample_index, o_state as state, o_code as error_code, {_r("o_limit", 4)} as threshold_c, {_r("o_factor", 4)} as derating_factor, {_r("o_checked", 4)} as checked_current_a, {_r("o_final", 4)} as final_current_a from machined"""
 
+
+def _hashed(columns: dict[str, str]) -> str:
+    """The hash of a row's JSON."""
+    return "sha256('{' || " + " || ',' || ".join(f"""'"{k}":"' || coalesce(({v})::varchar, 'null') || '"'""" for k, v in columns.items()) + " || '}')"
+
+
+def _digest(h: str, tag: str = "") -> str:
+    parts = "".join(f" || '|' || coalesce(sum(('0x' || substr({h}, {1 + 8 * k}, 8))::bigint), 0)::varchar" for k in range(identity.PARTS))
+    return f"sha256('{tag}|' || count({h})::varchar{parts})"
+
+
+def _d6(x: str) -> str:
+    return f"(({_r(x)})::decimal(18,6))"
+
+
+_PLACE = lambda x: f"{x}::decimal(12,9)"
+_TRAINED = ["tower_id", "timestamp", "source_file_hash", "physical", "truth"]
+_TREE = lambda by, source, name: f"{name} as (select {by}, i // {identity.FAN} as i, sha256(string_agg(r, '' order by i)) as r from {source} group by 1, 2)"
+
+#: Candidates of a key one after the other against the champion that the ones before left.
+CHAIN = f"""{CAND.split("), heads as (")[0]}),
+ranked_c as materialized (
+    select line_id, target, lpad((k % 8)::varchar, 3, '0') as tower_id, 'g' || k::varchar as gid, k, outcome, evaluation, es, tc, base, cor, mv, ev, case when outcome = 'operational' then 'operational_training_fallback'
+        when evaluation = 'holdout' and es is null then 'missing_evaluation_set_hash' when not cor < base then 'candidate_not_better_than_physical' end as ar from cand
+),
+first_heads as (select line_id, tower_id, target, max(k) as k from ranked_c where k < 40 and k % 3 = 0 group by all),
+numbered as materialized (select *, row_number() over (partition by line_id, tower_id, target order by k, gid) as n from ranked_c where k >= 40),
+keys as (select line_id, tower_id, target from numbered union select line_id, tower_id, target from first_heads),
+chain(line_id, tower_id, target, n, hid, pid, rev, h_mv, h_eval, h_es, h_tc, h_cor, d_k, d_gid, d_reason, d_met) as (
+    select y.line_id, y.tower_id, y.target, 0::bigint, c.gid, null::varchar, case when c.gid is null then 0 else 3 end::bigint, c.mv, c.evaluation, c.es, c.tc, c.cor, null::bigint, null::varchar, null::varchar, null::varchar
+    from keys y left join first_heads f using (line_id, tower_id, target) left join ranked_c c on c.k = f.k
+    union all
+    select line_id, tower_id, target, n, case when up then gid else hid end, case when up then hid else pid end, case when up then rev + 1 else rev end, case when up then mv else h_mv end, case when up then evaluation else h_eval end, case when up then es else h_es end,
+        case when up then tc else h_tc end, case when up then cor else h_cor end, k, gid, reason, hid
+    from (
+        select *, starts_with(reason, 'promoted') as up from (
+            select c.*, h.hid, h.pid, h.rev, h.h_mv, h.h_eval, h.h_es, h.h_tc, h.h_cor, case when ar is not null then ar when h_mv is null then case when evaluation = 'full_fit' then 'promoted_provisional' else 'promoted' end
+                when evaluation = 'full_fit' then 'full_fit_cannot_replace_champion' when h_eval = 'full_fit' and coalesce(ev <> h_mv, false) then 'model_version_conflict'
+                when h_eval = 'full_fit' and base - cor <= 1e-12 then 'insufficient_mae_improvement' when h_eval = 'full_fit' then 'promoted_from_provisional'
+                when h_es is null then 'champion_has_no_independent_evaluation' when es <> h_es then 'evaluation_set_mismatch' when tc <> h_tc and h_cor - cor < -1e-12 then 'insufficient_mae_improvement'
+                when tc <> h_tc then 'promoted_contract_refresh' when coalesce(ev <> h_mv, false) then 'model_version_conflict' when h_cor - cor <= 1e-12 then 'insufficient_mae_improvement' else 'promoted' end as reason
+            from chain h join numbered c on c.line_id = h.line_id and c.tower_id = h.tower_id and c.target = h.target and c.n = h.n + 1
+        )
+    )
+)"""
+
 _LOADED = ["dem_hash", "crs_hash", "coordinate_hash", "conductor_hash", "feature_version", "correction_config_hash", "training_contract_hash", "backend_id"]
 
 SQL = {
@@ -449,8 +535,21 @@ SQL = {
         ranked_ as (select *, row_number() over (partition by line_id, target order by created desc) as n from bad)
         select line_id, target, count(*) as kept, sum(created)::bigint as times from ranked_ where n <= 64 group by 1, 2""",
     "model_load_status": f"""with {CAND} select case when k % 10 = 0 then 'model_not_found' {" ".join(f"when k % {11 + n} = 3 then 'incompatible_{x}'" for n, x in enumerate(_LOADED))} when k % 23 = 0 then 'corrupt_model' else 'loaded' end as reason, count(*) as models from cand group by 1""",
-    "line_identity": f"""with {w.RAW}, {w.PLACES}, t as (select distinct line_id, tower_id from clean) select line_id, count(*) as towers, count(lon) = count(*) as persistent, case when count(lon) < count(*) then 'missing_coordinates' end as reason,
-        case when count(lon) = count(*) then 41 else 37 end::integer as identity_length from t left join (select * from places where lon > 100.03) using (tower_id) group by 1""",
+    "line_identity": f"""with {w.RAW}, {w.PLACES}, t as (select distinct line_id, tower_id from clean), p as (select line_id, tower_id, lon, {_hashed({"tower_id": "tower_id", "lon": _PLACE("lon"), "lat": _PLACE("lat")})} as h from t left join (select * from places where lon > 100.03) using (tower_id)),
+        l as (select line_id, count(*) as towers, count(lon) = count(*) as persistent, {_digest("h", "places")} as h from p group by 1),
+        f as (select line_id, {_digest("h", "files")} as f from (select distinct line_id, {_hashed({"source_file_hash": "source_file_hash"})} as h from clean) group by 1),
+        c as (select line_id, {_digest("h", "content")} as c from (select line_id, {_hashed({"tower_id": "tower_id", "timestamp": "timestamp"})} as h from clean) group by 1)
+        select line_id, towers, case when persistent then 'line-coordinates-' || left(h, 24) else 'line-runtime-' || left(sha256(h || '|' || f || '|' || c), 24) end as identity, persistent, case when not persistent then 'missing_coordinates' end as reason
+        from l join f using (line_id) join c using (line_id)""",
+    "input_hash": f"""with {w.RATED}, x as (select line_id, tower_id, timestamp, {_d6("temp_l")} as ta, {_hashed({"tower_id": "tower_id", "timestamp": "timestamp", "ambient_temp": _d6("temp_l"), "wind_speed": _d6("wind_l"), "wind_angle_deg": _d6("angle"), "solar_radiation": _d6("solar_l"), "elevation": _d6("first_elevation")})} as h from rated where angle is not null),
+        a as (select line_id, {_digest("h")} as w, epoch(max(timestamp)) - epoch(min(timestamp)) as span from x group by 1), i as (select line_id, {_digest("h")} as initial from (select line_id, {_hashed({"tower_id": "tower_id", "initial_temp": "ta"})} as h from (select line_id, tower_id, arg_min(ta, timestamp) as ta from x group by 1, 2)) group by 1)
+        select line_id, sha256('{identity.INPUT_VERSION}|' || w || '|{identity.conductor_text(WIRE)}|' || '1.000000,' || least(3.0::double, span / 3600)::decimal(18,6)::varchar || '|{WIRE.heat_capacity!r}|' || initial) as input_hash from a join i using (line_id)""",
+    "training_hash": f"""with {LOCAL}, x as (select line_id, target, {_hashed({"tower_id": "tower_id", "timestamp": "timestamp", "source_file_hash": "source_file_hash", "physical": _d6("physical"), "truth": _d6("true_value")})} as h from resid)
+        select line_id, target, {_digest("h", json.dumps({"columns": _TRAINED, "target": "all"}, sort_keys=True))} as content_hash from x group by 1, 2""",
+    "inclination_hash": f"""with s as (select *, row_number() over (partition by line_id order by sample_order) - 1 as i from ({sql("inclination_raw", "duckdb")})), l0 as (select line_id, i, sha256(i::varchar || '|' || {_hashed({"tower_id": "tower_id", "timestamp": "timestamp", "angle_deg": _d6("angle_deg")})}) as r from s),
+        {_TREE("line_id", "l0", "l1")}, {_TREE("line_id", "l1", "l2")} select line_id, sha256(string_agg(r, '' order by i)) as content_hash from l2 group by 1""",
+    "promotion_chain": f"with recursive {CHAIN} select line_id, tower_id, target, d_k as created_at, d_gid as generation_id, starts_with(d_reason, 'promoted') as promote, d_reason as reason, d_met as champion_id, rev as revision from chain where n > 0",
+    "promotion_heads": f"with recursive {CHAIN} select line_id, tower_id, target, hid as generation_id, pid as previous_id, rev as revision from chain where hid is not null qualify row_number() over (partition by line_id, tower_id, target order by n desc) = 1",
     "dataset_overlap": f"""with {w.RAW}, {TRUTH}, a as (select tower_id, timestamp, wind_direction from clean), b as (select tower_id, timestamp, wind_direction from truth)
         select (select count(*) from (select * from a except all select * from b))::bigint as only_first, (select count(*) from (select * from b except all select * from a))::bigint as only_second,
             (select count(*) from (select * from a except all select * from b)) = 0 and (select count(*) from (select * from b except all select * from a)) = 0 as equal,

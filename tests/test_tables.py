@@ -125,7 +125,7 @@ def test_registry(spark):
 
 def test_identity(spark):
     df = frame(spark, [("1", 0, 0.0, 1.0, 0.0), ("1", 30, 2.0, 1.0, 0.0), ("2", 0, 3.0, 1.0, 0.0)])
-    digest = lambda d: identity.content_hash(d, ["timestamp", "ambient_temp"], ["tower_id"], ["line_id"]).first().content_hash
+    digest = lambda d: identity.content_hash(d, ["tower_id", "timestamp", "ambient_temp"], ["line_id"]).first().content_hash
     assert digest(df) == digest(df.orderBy(F.desc("row_order"))) == digest(df.withColumn("ambient_temp", F.when(F.col("ambient_temp") == 0, -0.0).otherwise(F.col("ambient_temp"))))
     assert digest(df) != digest(df.withColumn("ambient_temp", F.col("ambient_temp") + 1))
 
