@@ -43,7 +43,7 @@ WORD[[0x20, 0x09]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Words that a task counts at once, and counts that it holds.
-WORDS, HELD = 3_000_000, 400_000
+WORDS, HELD = 1_500_000, 250_000
 MOST_BITS = 28
 
 
@@ -205,22 +205,25 @@ def _exact(known):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int, str], int] = {}
+        read: dict[int, tuple[str, int, str]] = {}  # by hash, so that a phrase is read once a task
         waiting, size = [], 0
 
         def count() -> None:
-            """What waits is counted by hash, then each phrase is read once."""
+            """What waits is counted by hash; only a hash that is new here has its phrase read."""
             for m in range(1, LONGEST + 1):
                 mine = [(k, h[m], at[m]) for k, (_, _, h, at) in enumerate(waiting) if m in h]
                 if not mine:
                     continue
                 h = np.concatenate([x for _, x, _ in mine])
-                _, first, n = np.unique(h, return_index=True, return_counts=True)
+                h, first, n = np.unique(h, return_index=True, return_counts=True)
                 edge = np.cumsum([0, *(len(x) for _, x, _ in mine)])
                 part = np.searchsorted(edge, first, "right") - 1
                 place = np.concatenate([at for _, _, at in mine])[first]
-                for p, j, times in zip(part.tolist(), place.tolist(), n.tolist(), strict=True):
-                    langs, words = waiting[mine[p][0]][:2]
-                    key = (langs[words.row[j]], m, words.text(j, m))
+                for x, p, j, times in zip(h.tolist(), part.tolist(), place.tolist(), n.tolist(), strict=True):
+                    key = read.get(x)
+                    if key is None:
+                        langs, words = waiting[mine[p][0]][:2]
+                        key = read[x] = (langs[words.row[j]], m, words.text(j, m))
                     held[key] = held.get(key, 0) + times
             waiting.clear()
 
@@ -242,6 +245,7 @@ def _exact(known):
                     if len(held) >= HELD:
                         yield rows(held)
                         held.clear()
+                        read.clear()
         count()
         if held:
             yield rows(held)
