@@ -183,15 +183,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 4,
     # equal queries are searched once; each is told by the hash of its vector
     wants = written(distinct_queries(asked, size))
     visits = wants.select("vec").distinct().mapInArrow(searching, "vec binary, tree int, leaf long, block long")
+    key = F.unhex(F.md5("vec"))
     many = F.element_at(F.element_at(F.lit(blocks.tolist()), F.col("tree") + 1), (F.col("leaf") + 1).cast("int"))
-    stored = cell.select("tree", "leaf", F.pmod(F.xxhash64("vec"), many).alias("block"), F.lit(0).alias("kind"), "vec", "ids")
-    asks = visits.select("tree", "leaf", "block", F.lit(1).alias("kind"), "vec", F.lit(None).cast("array<long>").alias("ids"))
+    stored = cell.select("tree", "leaf", F.pmod(F.xxhash64("vec"), many).alias("block"), F.lit(0).alias("kind"), "vec", "ids", F.lit(None).cast("binary").alias("key"))
+    asks = visits.select("tree", "leaf", "block", F.lit(1).alias("kind"), "vec", F.lit(None).cast("array<long>").alias("ids"), key.alias("key"))
     order = ("tree", "leaf", "block", "kind")
     both = stored.unionByName(asks).repartition("tree", "leaf", "block").sortWithinPartitions(*order)
-    near = both.mapInArrow(_ranked(k + 1), "vec binary, id long, score double")
-    best = near.groupBy("vec", "id").agg(F.min("score").alias("score"))
-    best = best.withColumn("place", F.row_number().over(Window.partitionBy("vec").orderBy("score", "id"))).where(F.col("place") <= k + 1)
-    answers = wants.join(best, "vec").where(F.col("id") != F.col("query_id")).groupBy("query_id", "id").agg(F.min("score").alias("score"))
+    near = both.mapInArrow(_ranked(k + 1), "key binary, id long, score double")
+    best = near.groupBy("key", "id").agg(F.min("score").alias("score"))
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("score", "id"))).where(F.col("place") <= k + 1)
+    answers = wants.select("query_id", key.alias("key")).join(best, "key").where(F.col("id") != F.col("query_id")).groupBy("query_id", "id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
@@ -210,10 +211,10 @@ def distinct_queries(asked: DataFrame, size: int) -> DataFrame:
 
 
 def _ranked(most: int):
-    """Rows of a block, then the queries that want it, to the nearest (vec, id, score) of each."""
+    """Rows of a block, then the queries that want it, to the nearest (key, id, score) of each."""
 
-    def scored(asked: list[bytes], block: np.ndarray, ids: list[list[int]]) -> pa.RecordBatch:
-        q = np.stack([np.frombuffer(x) for x in asked])
+    def scored(asked: list[tuple[bytes, bytes]], block: np.ndarray, ids: list[list[int]]) -> pa.RecordBatch:
+        q = np.stack([np.frombuffer(x) for _, x in asked])
         square = (block**2).sum(1)
         with np.errstate(over="ignore", invalid="ignore"):
             gap = square[None, :] + (q**2).sum(1)[:, None] - 2.0 * (q @ block.T)
@@ -222,21 +223,21 @@ def _ranked(most: int):
         slack = 1e-12 * (square.max() + (q**2).sum(1))
         reach = np.partition(gap, min(most, len(block)) - 1, 1)[:, min(most, len(block)) - 1] + slack
         out = []
-        for i, (own, at) in enumerate(zip(asked, reach, strict=True)):
+        for i, ((own, _), at) in enumerate(zip(asked, reach, strict=True)):
             there = np.flatnonzero(gap[i] <= at)
             exact = np.sqrt(((block[there] - q[i]) ** 2).sum(1)).tolist()
             out += [(own, x, d) for d, x in sorted((d, x) for d, j in zip(exact, there.tolist(), strict=True) for x in ids[j])[:most]]
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.float64()), strict=True)], names=["vec", "id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.float64()), strict=True)], names=["key", "id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, stored, ids, block, asked = None, [], [], None, []
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
-            for key, kind, vec, own in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                if key != place:
+            for here, kind, vec, own, key in zip(keys, *(batch.column(c).to_pylist() for c in range(3, 7)), strict=True):
+                if here != place:
                     if asked:
                         yield scored(asked, block, ids)
-                    place, stored, ids, block, asked = key, [], [], None, []
+                    place, stored, ids, block, asked = here, [], [], None, []
                 if kind == 0:
                     stored.append(vec)
                     ids.append(own)
@@ -245,7 +246,7 @@ def _ranked(most: int):
                     continue
                 if block is None:
                     block, stored = np.stack([np.frombuffer(x) for x in stored]), []
-                asked.append(vec)
+                asked.append((key, vec))
                 if len(asked) >= 256:
                     yield scored(asked, block, ids)
                     asked = []
