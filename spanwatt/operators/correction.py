@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwatt.config import BOUNDS, Correction
 
+from .guards import Rules, finite, required
 from .quality import require_uncorrected
 
 
-def invalid_inputs(df: DataFrame) -> DataFrame:
-    """Rows whose wind, temperature, radiation or direction can't be corrected."""
-    bad = F.lit(False)
+def input_rules() -> Rules:
+    """What wind, temperature, radiation and direction must not be: missing, not finite or out of bounds."""
+    rules = {}
     for c in ("wind_speed", "ambient_temp", "solar_radiation", "wind_direction"):
-        low, high = BOUNDS.get(c, (0.0, 1e300) if c == "solar_radiation" else (-1e300, 1e300))
-        bad |= F.col(c).isNull() | F.isnan(c) | ~F.col(c).between(low, high)
-    return df.where(bad)
+        low, high = BOUNDS.get(c, (0.0 if c == "solar_radiation" else -math.inf, math.inf))
+        rules |= {f"{c}_not_finite": ~finite(F.col(c)), f"{c}_out_of_bounds": finite(F.col(c)) & ~F.col(c).between(low, high)}
+    return rules
 
 
 def terrain_factor(direction: Column, slope: Column, aspect: Column) -> Column:
@@ -45,11 +48,11 @@ def correct(df: DataFrame, o: Correction = Correction(), checked: bool = False)
     """Corrects once; weather that was corrected before is refused.  Physical values stay in
     columns *_physical, results go to *_local, and the factors are kept.
 
-    checked: fail on rows of ``invalid_inputs``, at the cost of a look at the data.
+    checked: fail on a row that breaks ``input_rules``; ``guards.divided`` keeps such rows apart instead.
     """
-    require_uncorrected(df)
-    if checked and (bad := invalid_inputs(df).limit(1).collect()):
-        raise ValueError(f"the weather can't be corrected: {bad[0].asDict()}")
+    df = require_uncorrected(df)
+    if checked:
+        df = required(df, input_rules(), "the weather can't be corrected")
     for c in ("slope", "aspect"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(0.0))

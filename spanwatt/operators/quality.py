@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spanwatt.config import BOUNDS, DEFAULTS
 
+from .guards import required
+
 KEY = ["tower_id", "timestamp"]
 
 
@@ -77,7 +79,7 @@ def merged_report(df: DataFrame, order: list[str], group: str = "source_file_has
     return report(df, order, [group]).rollup("reason", group).agg(F.sum("rows").alias("rows")).where(F.col("reason").isNotNull())
 
 
-# Guards that fail the whole job look at one offending row.
+# Guards by row fail the job that comes upon an offending row; guards of a whole table look at it first.
 
 
 def _refuse(bad: DataFrame, message: str) -> None:
@@ -87,8 +89,8 @@ def _refuse(bad: DataFrame, message: str) -> None:
 
 
 def require_role(df: DataFrame, role: str) -> DataFrame:
-    _refuse(df.where(~F.col("dataset_role").eqNullSafe(role)).select("dataset_role"), f"rows are not of the role {role}")
-    return df
+    """``df``, which fails the job that comes upon a row of another role."""
+    return required(df, {"dataset_role": ~F.col("dataset_role").eqNullSafe(role)}, f"rows are not of the role {role}")
 
 
 def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,9 +99,10 @@ def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def require_uncorrected(df: DataFrame) -> DataFrame:
-    if "correction_stage" in df.columns:
-        _refuse(df.where("correction_stage is not null and correction_stage <> 'original'").select("correction_stage"), "the weather is corrected already")
-    return df
+    """``df``, which fails the job that comes upon a row that was corrected before."""
+    if "correction_stage" not in df.columns:
+        return df
+    return required(df, {"correction_stage": F.col("correction_stage") != "original"}, "the weather is corrected already")
 
 
 def shared_files(physical: DataFrame, truth: DataFrame) -> DataFrame:

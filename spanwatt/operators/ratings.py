@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwatt.config import SAFETY_FACTOR, Conductor
 from spanwatt.functions import physics
 
+from .guards import Rules, finite, required
+
 
 def common_times(df: DataFrame, readings: DataFrame | None = None) -> DataFrame:
     """Rows at times that every tower of the line has; towers and times must be unique.
@@ -25,15 +29,47 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
     return df
 
 
+def input_rules(conductor: Conductor) -> Rules:
+    """What the inputs of a steady rating must not be: missing, not finite, under absolute zero, above the highest
+    allowed temperature, or a negative wind or radiation."""
+    c = {x: F.col(x).cast("double") for x in ("ambient_temp_local", "wind_speed_local", "wind_angle_deg", "solar_radiation_local", "elevation")}
+    rules = {f"{x}_not_finite": ~finite(v) for x, v in c.items()}
+    return rules | {
+        "below_absolute_zero": c["ambient_temp_local"] <= -273.15, "above_max_temp": c["ambient_temp_local"] > conductor.max_temp,
+        "negative_wind": c["wind_speed_local"] < 0.0, "negative_solar": c["solar_radiation_local"] < 0.0,
+    }
+
+
+def checked_conductor(conductor: Conductor) -> Conductor:
+    """The conductor, if its scalars can be rated."""
+    for name in ("diameter", "r25", "r75", "r200"):
+        value = getattr(conductor, name)
+        if not (math.isfinite(value) and value > 0):
+            raise ValueError(f"{name} must be positive: {value}")
+    for name in ("emissivity", "absorptivity"):
+        value = getattr(conductor, name)
+        if not 0 <= value <= 1:
+            raise ValueError(f"{name} must be from 0 to 1: {value}")
+    if not (math.isfinite(conductor.max_temp) and conductor.max_temp > -273.15):
+        raise ValueError(f"max_temp must be above absolute zero: {conductor.max_temp}")
+    return conductor
+
+
 def first_elevation(df: DataFrame) -> DataFrame:
     """A tower is rated at the elevation of its first row."""
     by_tower = Window.partitionBy("tower_id").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("rated_elevation", F.first("elevation").over(by_tower))
 
 
-def rate_steady(corrected: DataFrame, conductor: Conductor, surface: float | None = None) -> DataFrame:
+def rate_steady(corrected: DataFrame, conductor: Conductor, surface: float | None = None, checked: bool = False) -> DataFrame:
     """Adds rated_elevation, unless the rows are a part of a series and bring it; raw_rating_a, the current that holds the highest allowed temperature, and
-    rating_a, which is published: the safety factor applies once, to finite ratings only."""
+    rating_a, which is published: the safety factor applies once, to finite ratings only.
+
+    checked: fail on a row that breaks ``input_rules``; ``guards.divided`` keeps such rows apart instead.
+    """
+    checked_conductor(conductor)
+    if checked:
+        corrected = required(corrected, input_rules(conductor), "the weather can't be rated")
     df = corrected if "rated_elevation" in corrected.columns else first_elevation(corrected)
     parts = physics.heat_balance(conductor, F.lit(surface or conductor.max_temp), F.col("ambient_temp_local"), F.col("wind_speed_local"), F.col("wind_angle_deg"), F.col("rated_elevation"), F.col("solar_radiation_local"))
     raw = parts["current_a"]
@@ -69,11 +105,6 @@ def daylight_hours(df: DataFrame, least: float = 10.0) -> DataFrame:
     return lit_.groupBy("line_id").agg(F.coalesce(F.min(hour), F.lit(6.0)).alias("first_hour"), F.coalesce(F.max(hour), F.lit(18.0)).alias("last_hour"))
 
 
-def matrix(rated: DataFrame, times: list, value: str = "rating_a") -> DataFrame:
-    """Towers by the given times, for export; incomplete towers have nulls."""
-    return rated.groupBy("tower_id").pivot("timestamp", times).agg(F.first(value))
-
-
 def incomplete_towers(rated: DataFrame, value: str = "rating_a") -> DataFrame:
     """Towers that lack a value at some time of their line, with the number that they lack."""
     times = rated.groupBy("line_id").agg(F.countDistinct("timestamp").alias("times"))

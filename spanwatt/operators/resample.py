@@ -99,13 +99,3 @@ def common_axis(df: DataFrame, minutes: int, count: int | None = None) -> DataFr
     made = both.select("tower_id", "step", "t", clip(at("ambient_temp"), -50.0, 70.0).alias("ambient_temp"), clip(at("wind_speed"), 0.1, 20.0).alias("wind_speed"), F.pmod(at("wind_direction"), F.lit(360.0)).alias("wind_direction"), clip(at("solar_radiation"), 0.0, 1500.0).alias("solar"))
     solar = made.groupBy("step").agg(F.avg("solar").alias("solar_radiation"))
     return made.drop("solar").join(solar, "step").join(towers, "tower_id")
-
-
-def tower_arrays(df: DataFrame) -> DataFrame:
-    """A row per tower with its readings as arrays in time order, and hours since the first
-    reading of all.  A tower's readings are one row: use it for one line and a bounded time."""
-    start = df.agg(F.min(micros(F.col("timestamp"))).alias("t0"))
-    rows = df.crossJoin(F.broadcast(start)).withColumn("hour", (micros(F.col("timestamp")) - F.col("t0")) / 3.6e9)
-    fields = ("hour", "ambient_temp", "wind_speed", "wind_direction", "humidity")
-    held = rows.groupBy("tower_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("r"))
-    return held.select("tower_id", *[F.col(f"r.{f}").alias(f) for f in fields])

@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from spanwatt.functions.parsing import coordinate_tower_id
+from spanwatt.functions.parsing import coordinate_tower_id, tower_id
 
 # The ellipsoid of WGS 84.
 SEMI_MAJOR_M, ECCENTRICITY_2 = 6378137.0, 0.0066943799901413165
@@ -36,13 +37,57 @@ def tower_coordinates(raw: DataFrame, label: str = "label") -> DataFrame:
     return one.where("lon = lon1 and lat = lat1").select("tower_id", "lon", "lat")
 
 
-def requested_coordinates(coords: DataFrame, requested: DataFrame) -> DataFrame:
-    """The places of requested towers: by the exact id, else by the number if just one tower has it."""
-    number = lambda c: F.col(c).try_cast("long")
-    single = coords.withColumn("n", number("tower_id")).where("n is not null").groupBy("n").agg(F.count("*").alias("k"), F.min("lon").alias("nlon"), F.min("lat").alias("nlat")).where("k = 1")
-    both = requested.select("tower_id").distinct().join(coords, "tower_id", "left").withColumn("n", number("tower_id"))
-    both = both.join(single.drop("k"), "n", "left")
-    return both.select("tower_id", F.coalesce("lon", "nlon").alias("lon"), F.coalesce("lat", "nlat").alias("lat"))
+def labelled_towers(raw: DataFrame, label: str = "label") -> DataFrame:
+    """tower_id of every tower of the table, those with two different places too."""
+    rows = raw.select(coordinate_tower_id(F.col(label)).alias("tower_id"), "lon", "lat")
+    return rows.where("tower_id is not null and abs(lon) <= 180 and abs(lat) <= 90").select("tower_id").distinct()
+
+
+def _number(c: str) -> Column:
+    return F.col(c).try_cast("long")
+
+
+def requested_coordinates(coords: DataFrame, known: DataFrame, requested: DataFrame, request: str = "request") -> DataFrame:
+    """request, tower_id, lon, lat of the requests that name a tower of ``coords``.
+
+    A request that is a number takes the tower whose id has that value, if just one of ``known`` has it; ids with two
+    places are among these, so they too make a number ambiguous.  A text takes the tower of exactly that id.
+    """
+    asked = requested.select(request).distinct()
+    if isinstance(asked.schema[request].dataType, NumericType):
+        single = known.select("tower_id", _number("tower_id").alias("_n")).where("_n is not null").groupBy("_n").agg(F.count("*").alias("_k"), F.min("tower_id").alias("tower_id")).where("_k = 1")
+        whole = F.col(request).cast("double")
+        asked = asked.where((whole >= 0) & (whole == F.floor(whole))).withColumn("_n", F.col(request).cast("long"))
+        named = asked.join(single, "_n").select(request, "tower_id")
+    else:
+        named = asked.select(request, tower_id(F.col(request)).alias("tower_id")).where("tower_id is not null")
+    return named.join(coords, "tower_id").select(request, "tower_id", "lon", "lat")
+
+
+def lookup(positions: DataFrame, coords: DataFrame, dem: DataFrame | None, affine: Affine, position: str = "position") -> DataFrame:
+    """The terrain of weather towers by whatever their column holds: position, tower_id and the columns of ``sample``.
+
+    Numbers (legacy positions) find the place whose id has that value, if just one has.  Texts find the place of that very
+    id, else of their normal form, else the first whose own normal form is that.  Without a grid, or without a place, the
+    sample is the default one and says why.
+    """
+    asked = positions.select(position).distinct()
+    if isinstance(asked.schema[position].dataType, NumericType):
+        asked = asked.withColumns({"tower_id": F.col(position).cast("long").cast("string"), "_n": F.col(position).cast("long")})
+        places = coords.withColumn("_n", _number("tower_id")).where("_n is not null").groupBy("_n").agg(F.count("*").alias("_k"), F.min(F.struct("lon", "lat")).alias("p")).where("_k = 1")
+        found = asked.join(places, "_n", "left").select(position, "tower_id", "p.lon", "p.lat")
+    else:
+        asked = asked.withColumn("tower_id", F.coalesce(tower_id(F.col(position)), F.trim(position)))
+        place = F.struct("lon", "lat")
+        plain = coords.groupBy(F.col("tower_id").alias("_a")).agg(F.min(place).alias("pa"))
+        normal = coords.groupBy(tower_id(F.col("tower_id")).alias("_b")).agg(F.min_by(place, "tower_id").alias("pb")).where("_b is not null")
+        found = asked.join(plain, F.col("tower_id") == F.col("_a"), "left").drop("_a").join(plain.select(F.col("_a").alias("_o"), F.col("pa").alias("po")), F.col(position) == F.col("_o"), "left").join(normal, F.col("tower_id") == F.col("_b"), "left")
+        found = found.withColumn("p", F.coalesce("pa", "po", "pb")).select(position, "tower_id", "p.lon", "p.lat")
+    if dem is None:
+        level = {"slope": 0.0, "aspect": 0.0, "terrain_elevation": 1000.0, "terrain_source": "default", "terrain_reason": "missing_dem"}
+        return found.select(position, "tower_id", *[F.lit(v).alias(k) for k, v in level.items()])
+    sampled = sample(found.select(F.col(position).cast("string").alias("tower_id"), "lon", "lat"), dem, affine).withColumnRenamed("tower_id", "_p")
+    return found.select(position, "tower_id").join(sampled, F.col(position).cast("string") == F.col("_p")).drop("_p")
 
 
 def cells(dem: DataFrame) -> DataFrame:
@@ -104,10 +149,23 @@ def join_terrain(weather: DataFrame, terrain: DataFrame) -> DataFrame:
     }).drop("terrain_elevation")
 
 
-def key_conflicts(by_index: DataFrame, by_position: DataFrame) -> DataFrame:
-    """Towers that two lookups of terrain tell differently."""
-    a, b = by_index.alias("a"), by_position.alias("b")
-    differ = F.lit(False)
-    for c in ("slope", "aspect", "terrain_elevation"):
-        differ |= ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return a.join(b, "tower_id").where(differ).select("tower_id")
+def resolved_keys(towers: DataFrame, keys: DataFrame) -> DataFrame:
+    """index, position, key, problem: which key of a table of terrain is meant for each tower of a matrix.
+
+    towers: index, position, both unique; keys: column key.  Keys may be indexes or positions.  If both find a key for
+    every tower they must agree; if just one does, it counts.  Else a tower takes the one key that either finds, and it is
+    ambiguous if they find two, or if another tower finds the same one.
+    """
+    named = keys.select(F.col("key").cast("string").alias("key")).distinct()
+    both = towers.withColumns({"_i": F.col("index").cast("string"), "_p": F.col("position").cast("string")})
+    both = both.join(named.select(F.col("key").alias("_i"), F.col("key").alias("by_index")), "_i", "left").join(named.select(F.col("key").alias("_p"), F.col("key").alias("by_position")), "_p", "left")
+    whole = both.agg(F.bool_and(F.col("by_index").isNotNull()).alias("_all_i"), F.bool_and(F.col("by_position").isNotNull()).alias("_all_p"))  # one row
+    owned = both.select("index", F.explode(F.array_distinct(F.array_compact(F.array("by_index", "by_position")))).alias("key")).groupBy("key").agg(F.count("*").alias("_owners"))
+    both = both.crossJoin(F.broadcast(whole))
+    differ = F.col("by_index") != F.col("by_position")
+    single = F.when(F.col("_all_i"), F.col("by_index")).when(F.col("_all_p"), F.col("by_position")).otherwise(F.coalesce("by_index", "by_position"))
+    both = both.withColumn("key", single)
+    both = both.join(owned, "key", "left")
+    neither = ~F.col("_all_i") & ~F.col("_all_p")
+    problem = F.when(F.col("_all_i") & F.col("_all_p") & differ, "ambiguous").when(neither & (F.coalesce(differ, F.lit(False)) | (F.col("_owners") > 1)), "ambiguous")
+    return both.select("index", "position", "key", problem.alias("problem"))

@@ -73,10 +73,10 @@ def test_correction(spark):
     assert got["c"].wind_speed_local == pytest.approx(10 * 2**0.15) and got["c"].ambient_temp_local == pytest.approx(20 - 0.065)
     assert (got["a"].wind_angle_deg, got["c"].wind_angle_deg) == (90.0, 0.0)
     assert {r.wind_angle_deg for r in correction.correct(rows, Correction(direction=False)).collect()} == {90.0}
-    with pytest.raises(ValueError):
-        correction.correct(correction.correct(rows))
-    with pytest.raises(ValueError):
-        correction.correct(rows.withColumn("wind_speed", F.lit(99.0)), checked=True)
+    with pytest.raises(Exception, match="corrected already"):
+        correction.correct(correction.correct(rows)).collect()
+    with pytest.raises(Exception, match="wind_speed_out_of_bounds"):
+        correction.correct(rows.withColumn("wind_speed", F.lit(99.0)), checked=True).collect()
 
 
 def test_terrain(spark):
