@@ -26,7 +26,7 @@ def test_guard(spark):
     assert got == {1: ["above_max_temp", "negative_wind"], 2: ["wind_angle_deg_not_finite", "below_absolute_zero"], 3: ["ambient_temp_local_not_finite", "above_max_temp", "negative_solar"], 4: ["elevation_not_finite"]}
     assert (counts["rows"], counts["refused"], counts["negative_wind"], counts["elevation_not_finite"]) == (5, 4, 1, 1)
     with pytest.raises(Exception, match="above_max_temp, negative_wind"):
-        guards.required(df, ratings.input_rules(WIRE), "bad").where("id = 1").collect()
+        guards.required(df.where("id = 1"), ratings.input_rules(WIRE), "bad").collect()
     assert guards.divided(df.where("false"), ratings.input_rules(WIRE))[2]["rows"] == 0
     for bad in ({"diameter": 0.0}, {"emissivity": 1.5}, {"max_temp": -300.0}):
         with pytest.raises(ValueError):
