@@ -84,10 +84,19 @@ class _Words:
         return " ".join(self.data[self.starts[k] : self.ends[k]].tobytes().decode("utf-8", "replace") for k in range(i, i + m))
 
 
+#: A hash marks three bits, its own lowest and those from here on.
+SHIFTS = (0, 18, 36)
+
+
 def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether each hash is marked."""
-    slot = h & U64(len(bitmap) * 64 - 1)
-    return (bitmap[slot >> U64(6)] >> (slot & U64(63))) & U64(1) > 0
+    """Whether all bits of each hash are marked."""
+    left = np.arange(len(h))
+    for shift in SHIFTS:
+        slot = (h[left] >> U64(shift)) & U64(len(bitmap) * 64 - 1)
+        left = left[(bitmap[slot >> U64(6)] >> (slot & U64(63))) & U64(1) > 0]
+    found = np.zeros(len(h), bool)
+    found[left] = True
+    return found
 
 
 SUMMARY = "part int, once binary, keys binary, counts binary"
@@ -186,10 +195,10 @@ def _survivors(rows: DataFrame, least: int, capacity: int) -> DataFrame:
 
 
 def _bitmap(hashes: DataFrame):
-    """A broadcast bitmap of the hashes: 16 bits or more for each, 2**20 to 2**28 in all."""
-    bits = min(MOST_BITS, max(20, int(16 * hashes.count()).bit_length()))
-    slot = F.col("h").bitwiseAND(F.lit(2**bits - 1))
-    made = hashes.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    """A broadcast bitmap of the hashes: 32 bits or more for each, 2**20 to 2**28 in all."""
+    bits = min(MOST_BITS, max(20, int(32 * hashes.count()).bit_length()))
+    slot = F.explode(F.array(*[F.shiftrightunsigned("h", k).bitwiseAND(F.lit(2**bits - 1)) for k in SHIFTS])).alias("slot")
+    made = hashes.select(slot).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     bitmap = np.zeros(2 ** (bits - 6), np.uint64)
     bitmap[made.column(0).to_numpy()] = made.column(1).to_numpy().view(np.uint64)
     return hashes.sparkSession.sparkContext.broadcast(bitmap)
