@@ -144,7 +144,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 4,
     chosen = [x.vec for x in all_vectors.orderBy(F.xxhash64("vec"), "vec").limit(sample).select("vec").collect()]
     size = Counter(map(len, chosen)).most_common(1)[0][0] if chosen else 0
     all_vectors = all_vectors.where(F.length("vec") == size)
-    fitted = np.array([np.frombuffer(x) for x in chosen if len(x) == size]).reshape(-1, size // 8)
+    fitted = np.array([np.frombuffer(x) for x in chosen if len(x) == size]).reshape(-1, max(size // 8, 1))
     total = all_vectors.count()
     depth = max(0, min(int(np.log2(max(total / leaf, 1))), int(np.log2(max(len(fitted) / FEWEST, 1)))))
     forest = Forest(fitted, trees, depth)
