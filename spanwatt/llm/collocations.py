@@ -12,8 +12,8 @@ language.
    than that, the counters grow rather than lose a key.  Kept: counter + taken off >= least.
 3. The kept hashes become a bitmap of at most 2**28 bits, which is broadcast.  Longer phrases are
    summarised the same way, and only those of which every pair of words passes it.
-4. The second pass counts by text whatever passes the bitmap.  A false pass costs a row
-   and changes no result, so counts and results are exact.
+4. The second pass counts by text whatever passes the bitmap: in the task, then in the task that owns
+   the part of the hash space.  A false pass costs an entry and changes no result, so counts and results are exact.
 
 Nulls: a null text is empty, a null language is "und".  Empty texts give nothing, an empty table
 gives no row.  Long texts are cut between pieces (a piece itself is never cut).  Ties in a
@@ -204,17 +204,28 @@ def _bitmap(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(bitmap)
 
 
-def _exact(known):
-    """(lang, words, phrase, n) of all that passes the bitmap, summed inside the task; words 0
-    is the number of all words of the language."""
+PARTIAL = "part int, lang array<string>, words array<int>, phrase array<string>, n array<long>"
 
-    def rows(held: dict[tuple[str, int, str], int]) -> pa.RecordBatch:
-        lang, m, phrase = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(m, pa.int32()), pa.array(phrase, pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "words", "phrase", "n"])
+
+def _exact(known, parts: int):
+    """Counts of all that passes the bitmap, summed inside the task: a row for each part of the hash space, with lists of
+    language, words, phrase and n; words 0 is the number of all words of the language."""
+
+    def rows(held: dict[int, int], read: dict[int, tuple[str, int, str]], totals: dict[str, int]) -> pa.RecordBatch:
+        h = np.fromiter(held, np.uint64, len(held))
+        part = np.concatenate([(h >> U64(32)) * U64(parts) >> U64(32), np.zeros(len(totals), np.uint64)]).astype(np.int64)
+        keys, n = [*(read[x] for x in held), *((x, 0, "") for x in totals)], [*held.values(), *totals.values()]
+        order = np.argsort(part, kind="stable")
+        own, first = np.unique(part[order], return_index=True)
+        ends = pa.array(np.append(first, len(part)), pa.int32())
+        listed = lambda values, kind: pa.ListArray.from_arrays(ends, pa.array(values, kind))
+        columns = [listed([keys[i][k] for i in order.tolist()], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.string()))]
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *columns, listed([n[i] for i in order.tolist()], pa.int64())], names=["part", "lang", "words", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int, str], int] = {}
-        read: dict[int, tuple[str, int, str]] = {}  # by hash, so that a phrase is read once a task
+        held: dict[int, int] = {}  # by hash
+        read: dict[int, tuple[str, int, str]] = {}  # so that a phrase is read once a task
+        totals: dict[str, int] = {}
         waiting, size = [], 0
 
         def count() -> None:
@@ -229,18 +240,18 @@ def _exact(known):
                 part = np.searchsorted(edge, first, "right") - 1
                 place = np.concatenate([at for _, _, at in mine])[first]
                 for x, p, j, times in zip(h.tolist(), part.tolist(), place.tolist(), n.tolist(), strict=True):
-                    key = read.get(x)
-                    if key is None:
+                    if x not in held:
                         langs, words = waiting[mine[p][0]][:2]
-                        key = read[x] = (langs[words.row[j]], m, words.text(j, m))
-                    held[key] = held.get(key, 0) + times
+                        read[x] = (langs[words.row[j]], m, words.text(j, m))
+                        held[x] = 0
+                    held[x] += times
             waiting.clear()
 
         for batch in batches:
             for langs, data, offsets in _stretches(batch.column(0), batch.column(1).to_pylist()):
                 words = _Words(langs, data, offsets)
                 for row, n in enumerate(np.bincount(words.row, minlength=len(langs)).tolist()):
-                    held[langs[row], 0, ""] = held.get((langs[row], 0, ""), 0) + n
+                    totals[langs[row]] = totals.get(langs[row], 0) + n
                 hashes, places = {}, {}
                 for m, h, there in words.phrases():
                     at = np.flatnonzero(there & _in(known.value, h))
@@ -252,12 +263,29 @@ def _exact(known):
                     count()
                     size = 0
                     if len(held) >= HELD:
-                        yield rows(held)
-                        held.clear()
-                        read.clear()
+                        yield rows(held, read, totals)
+                        for x in (held, read, totals):
+                            x.clear()
         count()
-        if held:
-            yield rows(held)
+        if held or totals:
+            yield rows(held, read, totals)
+
+    return run
+
+
+def _summed(least: int):
+    """Adds up the lists of a part by language, words and phrase; keeps what occurs often, and the totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int, str], int] = {}
+        for batch in batches:
+            for lists in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                for *key, n in zip(*lists, strict=True):
+                    held[tuple(key)] = held.get(tuple(key), 0) + n
+        often = [(*key, n) for key, n in held.items() if n >= least or key[1] == 0]
+        for k in range(0, len(often), 10_000):
+            columns = zip(zip(*often[k : k + 10_000], strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], names=["lang", "words", "phrase", "n"])
 
     return run
 
@@ -272,8 +300,8 @@ def phrase_counts(docs: DataFrame, least: int = 100, text_col: str = "text", lan
     short = written(_survivors(texts.mapInArrow(_summarised(parts), SUMMARY), least, capacity))
     pairs = _bitmap(short)
     long = written(_survivors(texts.mapInArrow(_summarised(parts, pairs), SUMMARY), least, capacity))
-    made = texts.mapInArrow(_exact(_bitmap(short.union(long))), "lang string, words int, phrase string, n long")
-    return written(made.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0)))
+    made = texts.mapInArrow(_exact(_bitmap(short.union(long)), parts), PARTIAL)
+    return written(made.repartition("part").mapInArrow(_summed(least), "lang string, words int, phrase string, n long"))
 
 
 #: A language's candidates are cut to the wanted number in so many heaps before they meet.
