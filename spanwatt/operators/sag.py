@@ -355,17 +355,24 @@ def _remembered(x: Column) -> Column:
     return F.struct(pick(after, m).alias("memory"), made.alias("made"))
 
 
-def validate(prepared: DataFrame, order: str = "sample_index", samples: int = ROWS) -> DataFrame:
-    """The state machine of every tower, in input order.
+def folded(prepared: DataFrame, order: str = "sample_index", samples: int = ROWS, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(states, memories): the state machine of every tower in input order, and what every tower remembers at the end.
 
     Which samples count for a threshold depends on the thresholds before, so a tower's samples are a chain: see
-    ``chains.fold``, which takes ``samples`` of a tower at once.
+    ``chains.fold``, which takes ``samples`` of a tower at once.  start: memories of an earlier run.
     """
     rows = prepared.select("tower_id", F.col(order).alias("i"), *[F.coalesce(c, F.lit(0.0)).alias(c) if c == "wind_speed" else F.col(c) for c in INPUTS])
     fresh = F.from_json(F.lit('{"state": "NORMAL", "calm": 0, "angles": [], "winds": [], "errors": []}'), MEMORY)
     made = f"struct<i: {dict(rows.dtypes)['i']}, " + ", ".join(": ".join(c.split(" ")) for c in STEP_COLUMNS.split(", ")) + ">"
-    states, _ = fold(rows, ["tower_id"], ["i"], None, fresh, _next, made, samples)
-    return states.withColumnRenamed("i", order)
+    fields = [c.split(" ")[0] for c in MEMORY.split(", ")]
+    before = None if start is None else start.select("tower_id", F.struct(*fields).alias("memory"))
+    states, memories = fold(rows, ["tower_id"], ["i"], before, fresh, _next, made, samples)
+    return states.withColumnRenamed("i", order), memories.select("tower_id", "memory.*")
+
+
+def validate(prepared: DataFrame, order: str = "sample_index", samples: int = ROWS) -> DataFrame:
+    """The states of ``folded``."""
+    return folded(prepared, order, samples)[0]
 
 
 def summary(states: DataFrame) -> DataFrame:

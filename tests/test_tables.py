@@ -12,7 +12,7 @@ from spanwatt.config import Conductor
 from spanwatt.functions import parsing
 from spanwatt.operators import align, audit, features, identity, models, quality, ratings, registry, resample, sag
 from spanwatt.sources import tables, weather
-from spanwatt.streaming import rating_stream, sag_stream
+from spanwatt.streaming import rating_stream
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -164,21 +164,6 @@ def sag_rows(spark):
     return spark.createDataFrame(rows, "tower_id string, sample_index long, angle_deg double, measured_temp_c double, theoretical_temp_c double, ambient_temp_c double, temperature_error_c double, wind_speed double, span_m double, original_current_a double, recalculated_current_a double, error_code string")
 
 
-def test_sag_stream(spark):
-    """State lasts between batches: a stream of three files gives what one batch gives."""
-    rows = sag_rows(spark)
-    batch = {(r.tower_id, r.sample_index): (r.state, round(r.final_current_a, 6)) for r in sag.validate(rows).collect()}
-    assert {v[0] for k, v in batch.items() if k[0] == "2"} == {"NORMAL", "INVALID"} and batch["1", 3][0] == "RISK"
-    folder = tempfile.mkdtemp(prefix="spark-")
-    for k in range(3):
-        rows.where(F.col("sample_index").between(10 * k, 10 * k + 9)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-        query = sag_stream.validate_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/check").option("path", f"{folder}/out").trigger(availableNow=True).start()
-        query.awaitTermination()
-    got = {(r.tower_id, r.sample_index): (r.state, round(r.final_current_a, 6)) for r in spark.read.parquet(f"{folder}/out").collect()}
-    assert got == batch
-
-
 def test_rating_stream(spark):
     df = frame(spark, [("1", 0, 20.0, 3.0, 90.0), ("1", 0, 20.0, 3.0, 90.0), ("2", 0, 20.0, 99.0, 90.0), ("2", 30, 20.0, 3.0, 0.0)])
     folder = tempfile.mkdtemp(prefix="spark-")
