@@ -19,13 +19,13 @@ CONDUCTORS = {
         "D0": 0.0338, "R_low_25": 4.680e-5, "R_high_75": 5.830e-5, "R_high_200": 8.740e-5,
         "materials": (("aluminum", 1.701), ("steel", 0.350)),
         "area_m2": 6.75e-4, "elastic_modulus_pa": 7.0e10, "thermal_expansion_per_c": 19.6e-6,
-        "rated_tensile_strength_n": 1.50e5, "mass_per_length_kg_m": 2.051,
+        "mass_per_length_kg_m": 2.051,
     },
     "ACSR Drake (795 kcmil)": {
         "D0": 0.0281, "R_low_25": 7.283e-5, "R_high_75": 8.688e-5, "R_high_200": 1.220e-4,
         "materials": (("aluminum", 1.116), ("steel", 0.5126)),
         "area_m2": 4.685e-4, "elastic_modulus_pa": 7.0e10, "thermal_expansion_per_c": 19.1e-6,
-        "rated_tensile_strength_n": 1.40e5, "mass_per_length_kg_m": 1.6286,
+        "mass_per_length_kg_m": 1.6286,
     },
 }
 GRAVITY = 9.80665
@@ -34,7 +34,7 @@ SAG = {
     "min_angle_deg": 0.05, "max_angle_deg": 89.5, "reference_temp_c": 20.0, "reference_tension_n": 20000.0,
     "span_m": 300.0, "elastic_modulus_pa": 7.0e10, "area_m2": 6.75e-4, "thermal_expansion_per_c": 1.9e-5,
     "base_threshold_c": 5.0, "recovery_ratio": 0.6, "recovery_samples": 3, "recovery_alpha": 0.25,
-    "convergence_a": 1.0, "history": 12, "unit_mass_kg_m": 1.0, "formula_version": "CN-patent-2025-v1",
+    "convergence_a": 1.0, "history": 12, "unit_mass_kg_m": 1.0,
 }
 
 
