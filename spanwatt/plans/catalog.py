@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, exports, files, weather
+from . import checks, exports, files, ledger, weather
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for part in (weather, checks, files, exports):
+for part in (weather, checks, files, exports, ledger):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
