@@ -418,3 +418,17 @@ def test_suffixes_of_crowded_ranks(spark, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
         got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(make(spark, texts)).collect()}
         assert [got[k] for k in range(len(texts))] == want, crowd
+
+
+def test_line_signatures(spark):
+    """SimHashes of lines longer than a lane counts; no Python runs on the executors; lines that
+    differ in digits only have few anchors in common."""
+    faces = ["ab " * 14000 + "ab", "ab " * 28000 + "ab", *(f"{k * 7919 % 10**10:010d} {k:05d}" for k in range(200))]
+    rows = spark.createDataFrame([(x,) for x in faces], "face string").withColumn("h", F.xxhash64("face"))
+    made = line_dedup.simhashes(rows)
+    assert "Python" not in made._jdf.queryExecution().toString() and "Arrow" not in made._jdf.queryExecution().toString()
+    got = {r.h: r for r in made.collect()}
+    of = {r.face: got[r.h] for r in rows.collect()}
+    assert of[faces[0]].sim == of[faces[1]].sim and of[faces[0]].anchors == of[faces[1]].anchors
+    numbers = [a for f in faces[2:] for a in of[f].anchors]
+    assert len(set(numbers)) > 0.8 * len(numbers)
