@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import time
 import zlib
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -432,3 +434,47 @@ def test_line_signatures(spark):
     assert of[faces[0]].sim == of[faces[1]].sim and of[faces[0]].anchors == of[faces[1]].anchors
     numbers = [a for f in faces[2:] for a in of[f].anchors]
     assert len(set(numbers)) > 0.8 * len(numbers)
+
+
+def test_lines_of_symbols(spark):
+    """Unlike lines whose words all carry the same few symbols are no candidates."""
+    rng = random.Random(13)
+    faces = [" ".join(w + rng.choice(["###", "***", "$$$", "%%%", "&&&"]) for w in base(rng, 60).split(" ")) for _ in range(30)]
+    rows = spark.createDataFrame([(x,) for x in faces], "face string").withColumn("h", F.xxhash64("face"))
+    sims = [r.sim for r in line_dedup.simhashes(rows).collect()]
+    apart = [((a ^ b) & (2**64 - 1)).bit_count() for k, a in enumerate(sims) for b in sims[:k]]
+    assert len(sims) == 30 and sum(x > 18 for x in apart) > 0.95 * len(apart)
+
+
+def test_line_similarity_by_pieces(spark):
+    """The verdict is that of the edit distance of the whole lines, with repeated phrases, moved
+    parts and edits about the limit too; long edited copies take no square of their length."""
+    rng = random.Random(14)
+    pairs = [("", "a"), ("abc", "abd"), ("one line", "one line")]
+    for n in range(4, 60, 4):
+        for share in (0.0, 0.05, 0.15, 0.2, 0.25, 0.5, 1.0):
+            a = list(base(rng, n)) if n % 8 else list((base(rng, 3) + " ") * (n // 3))
+            b = [x if rng.random() > share else rng.choice(["", "z", x + "z"]) for x in a]
+            pairs.append(("".join(a), "".join(b)))
+            pairs.append(("".join(a), "".join(a[len(a) // 2 :] + a[: len(a) // 2])))
+            pairs.append(("".join(a), "".join(a[: len(a) * 9 // 10])))
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k long, x string, y string")
+    most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - 0.8) + 1e-9).cast("int")
+    want = {r.k for r in rows.where(F.call_function("levenshtein", F.col("x"), F.col("y")) <= most).collect()}
+    assert {r.k for r in line_dedup._similar(rows, "x", "y", 0.8).collect()} == want and 0.2 < len(want) / len(pairs) < 0.9
+    # 200 pairs of 20,000 characters: 8e10 cells as wholes
+    words = [base(rng, 4000).split(" ") for _ in range(200)]
+    far = spark.createDataFrame([(" ".join(w), " ".join(x if k % 20 else "new" for k, x in enumerate(w))) for w in words], "x string, y string")
+    began = time.time()
+    assert line_dedup._similar(far, "x", "y", 0.8).count() == 200 and time.time() - began < 60
+
+
+def test_line_tables_are_given_back(spark):
+    """Once the lines that go are known, no table of the lines' texts or SimHashes is left."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
+    rng = random.Random(15)
+    docs = make(spark, ["\n".join(base(rng, 40) for _ in range(10)) for _ in range(200)])
+    line_dedup.dedup(docs).count()
+    left = sum(p.stat().st_size for d in set(shared.iterdir()) - before for p in d.rglob("*.parquet"))
+    assert left < 0.2 * sum(len(r.text) for r in docs.collect())
