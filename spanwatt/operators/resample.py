@@ -18,9 +18,9 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def _between(t: Column, before: Column, after: Column) -> Column:
-    """Linear in time between two (t, v) structs; at a reading itself, the reading."""
-    share = (t - before["t"]) / (after["t"] - before["t"])
-    return F.when(t == before["t"], before["v"]).otherwise(before["v"] + (after["v"] - before["v"]) * share)
+    """Linear in time between two (t, v) structs; at a reading itself, the reading.  The product comes before the
+    quotient, as in the SQL: a direction within a rounding error of north falls on the side that this order gives."""
+    return F.when(t == before["t"], before["v"]).otherwise(before["v"] + (after["v"] - before["v"]) * (t - before["t"]) / (after["t"] - before["t"]))
 
 
 def resample(df: DataFrame, minutes: int, direction: str = "wind_direction", by: tuple[str, ...] = ("tower_id",)) -> DataFrame:
