@@ -51,7 +51,7 @@ def _reason(c: Callable[[str], Column], h: Callable[[str], Column], least: float
 
 
 def decide(candidates: DataFrame, heads: DataFrame, least: float = 0.0) -> DataFrame:
-    """promote and reason for every candidate, held against its key's champion.
+    """promote and reason for every candidate, held against its key's champion (each of them, where the table has several).
 
     Both sides hold KEYS, model_version, evaluation, evaluation_set_hash, training_contract_hash,
     baseline_mae, corrected_mae; candidates expected_version too.  Candidates of one key are each held against
@@ -99,6 +99,12 @@ def apply_promotions(heads: DataFrame, decided: DataFrame) -> DataFrame:
     one fails the job, as only ``promote`` can tell which of them meets the other."""
     new = decided.where("promote").withColumn("_n", F.count("*").over(Window.partitionBy(*KEYS)))
     new = new.where(F.when(F.col("_n") > 1, F.raise_error("a key has two promoted candidates").cast("boolean")).otherwise(True)).select(*KEYS, F.col("generation_id").alias("new_id"), "expected_generation")
+    return swapped(heads, new)
+
+
+def swapped(heads: DataFrame, new: DataFrame) -> DataFrame:
+    """Heads after the compare-and-set, a row for each pair of a head and a promoted candidate of its key.  heads: KEYS,
+    generation_id, revision; new: KEYS, new_id, expected_generation.  Nothing says which of several candidates comes first."""
     both = heads.join(new, list(KEYS), "full_outer")
     swap = F.col("new_id").isNotNull() & F.col("expected_generation").eqNullSafe(F.col("generation_id"))
     return both.select(*KEYS, F.when(swap, F.col("new_id")).otherwise(F.col("generation_id")).alias("generation_id"), F.when(swap, F.coalesce("revision", F.lit(0)) + 1).otherwise(F.col("revision")).cast("long").alias("revision")).where("generation_id is not null")

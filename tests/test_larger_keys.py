@@ -49,3 +49,12 @@ def test_labels_of_many_users(spark, tmp_path):
     """Users of five digits of whom several have one label; 1000 has a place and 1500 has none."""
     users = [(u, 0, 0) for u in (1, 2, 333, 334, 3333, 3334, 3335, 3336, 3337, 3338, 5000, 5002)]
     assert agrees(spark, tmp_path, "terrain_by_position", events=events(*users), customer=CUSTOMER.format(1100), part=PART.format(2000)) == 38
+
+
+#: Keys of seven digits, and those of six digits that they fall on when they lose the last one.
+COLLIDING = "select k::bigint as p_partkey, (k * 7 % 50 + 1)::integer as p_size, 900.0 + k % 1000 / 10.0::double as p_retailprice from (select unnest(range(100000, 100040)) as k union all select unnest(range(1000000, 1000400)))"
+
+
+@pytest.mark.parametrize("name", ["promotion_decisions", "promoted_heads"])
+def test_colliding_keys(spark, tmp_path, name):
+    assert agrees(spark, tmp_path, name, part=COLLIDING) > 5
