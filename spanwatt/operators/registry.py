@@ -50,14 +50,14 @@ def _reason(c: Callable[[str], Column], h: Callable[[str], Column], least: float
     )
 
 
-def decide(candidates: DataFrame, heads: DataFrame, least: float = 0.0) -> DataFrame:
+def decide(candidates: DataFrame, heads: DataFrame, least: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """promote and reason for every candidate, held against its key's champion (each of them, where the table has several).
 
     Both sides hold KEYS, model_version, evaluation, evaluation_set_hash, training_contract_hash,
     baseline_mae, corrected_mae; candidates expected_version too.  Candidates of one key are each held against
-    the same champion; ``promote`` takes them one after the other.
+    the same champion; ``promote`` takes them one after the other.  keep: more columns of the champion that stay, as head_...
     """
-    h = heads.select(*KEYS, *[F.col(c).alias("head_" + c) for c in COMPARED])
+    h = heads.select(*KEYS, *[F.col(c).alias("head_" + c) for c in (*COMPARED, *keep)])
     df = admission(candidates).join(h, list(KEYS), "left")
     return df.withColumn("reason", _reason(F.col, lambda x: F.col("head_" + x), least)).withColumn("promote", F.col("reason").startswith("promoted"))
 

@@ -55,6 +55,6 @@ def test_labels_of_many_users(spark, tmp_path):
 COLLIDING = "select k::bigint as p_partkey, (k * 7 % 50 + 1)::integer as p_size, 900.0 + k % 1000 / 10.0::double as p_retailprice from (select unnest(range(100000, 100040)) as k union all select unnest(range(1000000, 1000400)))"
 
 
-@pytest.mark.parametrize("name", ["promotion_decisions", "promoted_heads", "model_load_status"])
+@pytest.mark.parametrize("name", ["promotion_decisions", "promoted_heads", "model_load_status", "rejected_attempts"])
 def test_colliding_keys(spark, tmp_path, name):
     assert agrees(spark, tmp_path, name, part=COLLIDING) > 5
