@@ -15,30 +15,43 @@ from spanwatt.config import SAFETY_FACTOR, Conductor
 STEP_S, MAX_STEPS, HOTTEST_C, RESIDUAL_W_M = 10.0, 1_000_000, 1004.0, 1e-6
 
 
-def net_loss(c: Conductor, t: np.ndarray, air: np.ndarray, wind: np.ndarray, angle: np.ndarray, elevation: np.ndarray, solar: np.ndarray) -> np.ndarray:
-    """W/m lost by convection and radiation less the solar gain; negative where heat flows in."""
-    film = (t + air) / 2
-    rho = (1.293 - 1.525e-4 * elevation + 6.379e-9 * elevation**2) / (1 + 0.00367 * film)
-    mu, k = 1.458e-6 * (film + 273.15) ** 1.5 / (film + 383.4), 2.424e-2 + 7.477e-5 * film - 4.407e-9 * film**2
+def losses(c: Conductor, air: np.ndarray, wind: np.ndarray, angle: np.ndarray, elevation: np.ndarray, solar: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The loss in one weather as a function of the temperature; what the weather alone decides is computed once."""
+    thick, flow = 1.293 - 1.525e-4 * elevation + 6.379e-9 * elevation**2, c.diameter * wind
     phi = np.mod(angle, 180.0)
     phi = np.radians(np.minimum(phi, 180 - phi))
-    turn = 1.194 - np.cos(phi) + 0.194 * np.cos(2 * phi) + 0.368 * np.sin(2 * phi)
-    gap, re = np.abs(t - air), c.diameter * rho * wind / mu
-    forced = np.where(wind == 0, 0.0, turn * k * gap * np.maximum(1.01 + 1.35 * re**0.52, 0.754 * re**0.6))
-    convection = np.sign(t - air) * np.maximum(3.645 * np.sqrt(rho) * c.diameter**0.75 * gap**1.25, forced)
-    radiation = 17.8 * c.diameter * c.emissivity * (((t + 273) / 100) ** 4 - ((air + 273) / 100) ** 4)
-    return convection + radiation - c.absorptivity * solar * c.diameter
+    turn = np.where(wind == 0, 0.0, 1.194 - np.cos(phi) + 0.194 * np.cos(2 * phi) + 0.368 * np.sin(2 * phi))
+    shine, calm = 17.8 * c.diameter * c.emissivity, 3.645 * c.diameter**0.75
+    gain = shine * ((air + 273) / 100) ** 4 + c.absorptivity * solar * c.diameter
+
+    def loss(t: np.ndarray) -> np.ndarray:
+        film, gap = (t + air) / 2, t - air
+        rho, warm = thick / (1 + 0.00367 * film), film + 273.15
+        mu, k = 1.458e-6 * warm * np.sqrt(warm) / (film + 383.4), 2.424e-2 + (7.477e-5 - 4.407e-9 * film) * film
+        re, hot = flow * rho / mu, (t + 273) / 100
+        hot = hot * hot
+        forced = turn * k * np.maximum(1.01 + 1.35 * re**0.52, 0.754 * re**0.6)
+        return gap * np.maximum(calm * np.sqrt(rho) * np.sqrt(np.sqrt(np.abs(gap))), forced) + shine * (hot * hot) - gain
+
+    return loss
+
+
+def net_loss(c: Conductor, t: np.ndarray, air: np.ndarray, wind: np.ndarray, angle: np.ndarray, elevation: np.ndarray, solar: np.ndarray) -> np.ndarray:
+    """W/m lost by convection and radiation less the solar gain; negative where heat flows in."""
+    return losses(c, air, wind, angle, elevation, solar)(t)
 
 
 def ohms(c: Conductor, t: np.ndarray) -> np.ndarray:
-    slope = np.where(t <= 100, (c.r75 - c.r25) / 50, (c.r200 - c.r25) / 175)
+    low, high = (c.r75 - c.r25) / 50, (c.r200 - c.r25) / 175
+    slope = np.where(t <= 100, low, high) if np.any(t > 100) else low
     return c.r25 + slope * (t - 25)
 
 
 def steady(c: Conductor, current: np.ndarray, air: np.ndarray, *weather: np.ndarray) -> np.ndarray:
     """The temperature at which the loss equals the heat of the current; nan where none is
     found up to the hottest."""
-    excess = lambda t: net_loss(c, t, air, *weather) - current**2 * ohms(c, t)
+    loss = losses(c, np.asarray(air, float), *weather)
+    excess = lambda t: loss(t) - current**2 * ohms(c, t)
     low, high = np.array(air, float), np.maximum(200.0, air + 1)
     short = excess(high) < 0
     high = np.where(short, HOTTEST_C, high)
@@ -54,14 +67,26 @@ def steady(c: Conductor, current: np.ndarray, air: np.ndarray, *weather: np.ndar
 def advance(c: Conductor, t: np.ndarray, current: np.ndarray, seconds: np.ndarray | float, *weather: np.ndarray) -> np.ndarray:
     """Temperature after ``seconds`` (of each row) at a constant current and weather: Euler
     steps of at most ten seconds.  Not finite or below absolute zero: nan."""
-    left, steps = np.array(np.broadcast_to(seconds, np.shape(t)), float), 0
+    return _advance(c, t, current, seconds, losses(c, *weather))
+
+
+def _advance(c: Conductor, t: np.ndarray, current: np.ndarray, seconds: np.ndarray | float, loss: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    left, heat, capacity = np.array(np.broadcast_to(seconds, np.shape(t)), float), current**2, c.heat_capacity
+    if left.max(initial=0) > STEP_S * MAX_STEPS:
+        return np.full_like(t, np.nan)
+
+    def step(t: np.ndarray, dt: np.ndarray | float) -> np.ndarray:
+        t = t + dt * ((heat * ohms(c, t) - loss(t)) / capacity)
+        lost = (t <= -273.15) | (t == np.inf)
+        return np.where(lost, np.nan, t) if lost.any() else t
+
+    whole = int(max(left.min(initial=left.max(initial=0)), 0) // STEP_S)  # steps that are whole in all rows
+    for _ in range(whole):
+        t = step(t, STEP_S)
+    left = left - whole * STEP_S
     while (left > 0).any():
         dt = np.minimum(STEP_S, left)
-        t = t + dt * (current**2 * ohms(c, t) - net_loss(c, t, *weather)) / c.heat_capacity
-        t = np.where(np.isfinite(t) & (t > -273.15), t, np.nan)
-        left, steps = left - dt, steps + 1
-        if steps > MAX_STEPS:
-            return np.full_like(t, np.nan)
+        t, left = step(t, dt), left - dt
     return t
 
 
@@ -75,11 +100,11 @@ def time_to_limit(c: Conductor, t: np.ndarray, current: np.ndarray, limit: float
     end = steady(c, current, *weather)
     live = (t < limit) & ~(end <= limit)
     now, at = np.array(t, float), 0.0
-    weather = tuple(np.asarray(w, float) for w in weather)
+    loss = losses(c, *(np.asarray(w, float) for w in weather))
     for _ in range(MAX_STEPS):
         if not live.any():
             break
-        rate = (current**2 * ohms(c, now) - net_loss(c, now, *weather)) / c.heat_capacity
+        rate = (current**2 * ohms(c, now) - loss(now)) / c.heat_capacity
         after = now + STEP_S * rate
         hit = live & ~(after < limit)
         out = np.where(hit, at + np.floor((limit - now) / np.where(rate == 0, 1, rate) * 1e6) / 1e6, out)
@@ -105,12 +130,14 @@ def window_rating(c: Conductor, seconds: np.ndarray, weather: list[np.ndarray],
         if min(b, start) > a:
             t = advance(c, t, base, min(b, start) - a, *[w[:, k] for w in weather])
 
+    steps = [(a, b, losses(c, *[w[:, k] for w in weather])) for a, b, k in spans]
+
     def keeps(current: np.ndarray) -> np.ndarray:
         now, ok = t, t <= c.max_temp
-        for a, b, k in spans:
+        for a, b, loss in steps:
             for _ in range(int(np.ceil((b - a) / STEP_S))):
                 dt = min(STEP_S, b - a)
-                now = advance(c, now, current, dt, *[w[:, k] for w in weather])
+                now = _advance(c, now, current, dt, loss)
                 ok &= now <= c.max_temp
                 a += dt
         return ok
@@ -175,14 +202,19 @@ def _seconds(times: pd.Series) -> np.ndarray:
     return times.astype("datetime64[us]").astype("int64").to_numpy() / 1e6
 
 
-def _packs(batches: Iterator[pd.DataFrame], most: int = 64) -> Iterator[list[pd.DataFrame]]:
-    """Whole towers, several at a time, so that numpy has a row for each."""
+def _packs(batches: Iterator[pd.DataFrame], most: int = 512, rows: int = 400_000) -> Iterator[list[pd.DataFrame]]:
+    """Whole towers, several at a time, so that numpy has a row for each; at most ``rows`` with a tower's length times their number."""
     held: list[pd.DataFrame] = []
+    longest = 0
     for one in _towers(batches):
+        longest = max(longest, len(one))
+        if held and (len(held) + 1) * longest > rows:
+            yield held
+            held, longest = [], len(one)
         held.append(one)
         if len(held) == most:
             yield held
-            held = []
+            held, longest = [], 0
     if held:
         yield held
 
