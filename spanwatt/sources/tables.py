@@ -43,7 +43,7 @@ def read_inclination(spark: SparkSession, paths: list[str], tower: str | None =
     kind = INCLINATION if tower is not None else replace(INCLINATION, must=("tower_id",))
     files = usable(spark, paths, (kind,))
     order = spark.createDataFrame([(r.path, k) for k, r in enumerate(files)], "path string, _f long")
-    rows = read_rows(spark, paths, (kind,)).join(order, "path")
+    rows = read_rows(spark, paths, (kind,), files).join(order, "path")
     who = F.when(F.array_contains("has", "tower_id"), tower_id(F.col("tower_id"))).otherwise(F.lit(tower))
     df = rows.select(who.alias("tower_id"), instant(F.col("timestamp")).alias("timestamp"), number(F.col("angle_deg")).alias("angle_deg"), F.struct("_f", "row_order").alias("_o"))
     df = df.withColumn("sample_index", (F.row_number().over(Window.partitionBy("tower_id").orderBy("_o")) - 1).cast("long")).drop("_o")
